@@ -58,7 +58,7 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def batches(source: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 400_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``most_bytes`` bytes, one row at least."""
     for batch in source:
         if not batch.num_rows:
