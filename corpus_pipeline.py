@@ -1,5 +1,56 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: language, exact copies, near copies, personal data, packing.
+
+Each stage takes what the one before it kept and returns the columns of
+``documents``; the last returns packed pieces. The rows of the result depend on a
+trained model, so there is no SQL for them.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tracekiln.llm import exact_dedup, jaccard_join, language_id, packing, pii
+from tracekiln.llm.common import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    return language_id.identified(docs, language_id.learned(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the longest original stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles, the smallest ``doc_id`` stays."""
+    return jaccard_join.thinned(docs, words=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced in the texts."""
+    return pii.redacted(docs)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("pii", personal_data),
+    ("packing", packs),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
