@@ -12,12 +12,14 @@ number that may be missing.
 Frequent is a token that stands in so many prefixes that at most ``MOST_FREQUENT``
 tokens can; that set alone is sent to the tasks. Exact copies of a set are one item.
 
-Candidates are the items under one signature. They are first held against one
-leader of each signature, which is linear in the postings and joins large groups
-of near copies; components of the links found so are built by label propagation
-with pointer jumps. What a signature still holds of different components is then
+Candidates are the items under one signature. Where signatures hold large groups,
+items are first held against leaders, one an item, which is linear and joins the
+near copies; components of the links found so are built by label propagation with
+pointer jumps. What a signature still holds of different components is then
 compared, each item outside its largest component with all that are not in its
-own, so that no link between components is lost. All links are verified on whole sets.
+own, so that no link between components is lost. Pairs are first checked on the
+fronts of their sets, which can only rule out what cannot be a link; what is left
+is verified on whole sets.
 
 Defined cases: a null or empty text has no shingles, and is alone even among its
 like. A text with fewer words than a shingle is one shingle. Repeated rows and
@@ -183,6 +185,26 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("item", "label")
 
 
+def possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the fronts of both sets leave room for.
+
+    Below the smaller of the last tokens of two fronts, both sets are known whole:
+    tokens there that only one has count against the pair, and it can afford
+    (100 - percent) / (100 + percent) of both sizes.
+    """
+    left = fronts.select(F.col("item").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
+    right = fronts.select(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    near = f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na"
+    # Tokens are in unsigned order; with the highest bit turned they compare as signed numbers do.
+    high = F.lit(-(1 << 63))
+    turned = lambda x: x.bitwiseXOR(high)
+    stop = F.least(turned(F.element_at("x", -1)), turned(F.element_at("y", -1)))
+    upto = lambda v: F.filter(v, lambda t: turned(t) <= F.col("stop"))
+    both = pairs.join(left, "a").join(right, "b").where(near).withColumn("stop", stop).select("a", "b", "na", "nb", upto(F.col("x")).alias("x"), upto(F.col("y")).alias("y"))
+    differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     left = sets.select(F.col("item").alias("a"), F.col("tokens").alias("x"))
@@ -194,74 +216,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     formed = stored(shapes(docs, words, percent), "join-shapes")
+    again = bool(formed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").take(1))
     reps = stored(formed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("item")), "join-items")
     items = reps.where("item is not null").select("item")
-    first = formed.join(items, formed["doc_id"] == items["item"], "left_semi").select(F.explode("prefix").alias("token"))
-    counts = stored(first.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_FREQUENT}"), "join-counts")
     total = formed.agg(F.sum(F.size("prefix"))).first()[0] or 0
     # Each has at least this many of `total` places, so there are at most MOST_FREQUENT.
-    frequent = np.array([r[0] for r in counts.where(F.col("n") >= max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))).select("token").collect()], dtype=np.int64).view(np.uint64)
+    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
+    counts = formed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    frequent = np.array([r[0] for r in counts.select("token").collect()], dtype=np.int64).view(np.uint64)
     frequent.sort()
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, sent.value, percent))
-    own = signed.join(items, "item", "left_semi").dropDuplicates(["item"]) if _repeats(formed) else signed.join(items, "item", "left_semi")
-    posted = own.select("item", "n", F.explode("signatures").alias("signature"))
-    heads = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("held"), F.min("item").alias("leader")).where("held > 1 and leader is not null")
-    postings = stored(posted.join(heads.select("signature"), "signature", "left_semi"), "join-postings")
-    wanted = postings.select(F.col("item").alias("wanted")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["wanted"], "left_semi")
-    if _repeats(formed):
-        texts = texts.dropDuplicates(["doc_id"])
-    sets = stored(_mapped_sets(texts, words, "tokens", lambda x: x), "join-sets")
-    parts = stored(postings.select("item").distinct().withColumn("component", F.col("item")), "join-parts")
-    links = None
-
-    def near(x: str, y: str) -> str:
-        return f"100 * {x} >= {percent} * {y} and 100 * {y} >= {percent} * {x}"
+    def one_each(rows: DataFrame, key: str) -> DataFrame:
+        return rows.dropDuplicates([key]) if again else rows
+
+    signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, sent.value, percent)).select("item", "signatures")
+    own = one_each(signed.join(items, "item", "left_semi"), "item")
+    posted = own.select("item", F.explode("signatures").alias("signature"))
+    shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("signature")
+    postings = stored(posted.join(shared, "signature", "left_semi"), "join-postings")
+    wanted = stored(postings.select("item").distinct(), "join-wanted")
+    fronts = stored(one_each(formed.select(F.col("doc_id").alias("item"), F.col("n_shingles").alias("n"), "prefix").join(wanted, "item", "left_semi"), "item"), "join-fronts")
+    parts = wanted.withColumn("component", F.col("item"))
+    links = sets = None
 
     for k in range(ROUNDS + 1):
         placed = postings.join(parts, "item")
         by_part = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed_up = by_part.groupBy("signature").agg(
+        open_ones = by_part.groupBy("signature").agg(
             F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
         ).where("parts > 1")
-        mixed_up = stored(mixed_up.select("signature", "g", "inside", F.col("top.component").alias("top")), "join-mixed")
-        work = mixed_up.agg(F.sum((F.col("g") * F.col("g") - F.col("inside")) / 2), F.sum("g")).first()
+        open_ones = stored(open_ones.select("signature", "g", "inside", F.col("top.component").alias("top")), "join-open")
+        work = open_ones.agg(F.sum((F.col("g") * F.col("g") - F.col("inside")) / 2), F.sum("g")).first()
         if not work[1]:
             break
-        placed = placed.join(mixed_up.select("signature", "top"), "signature")
+        placed = placed.join(open_ones.select("signature", "top"), "signature")
         whole = k == ROUNDS or work[0] <= 4 * work[1]
         if whole:
             # Items outside the largest component against all that are not in their own.
-            few = placed.where("component <> top").select("signature", F.col("item").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            many = placed.select("signature", F.col("item").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "top")
-            met = few.join(many, "signature").where(f"ca <> cb and (cb = top or a < b) and {near('na', 'nb')}")
+            few = placed.where("component <> top").select("signature", F.col("item").alias("a"), F.col("component").alias("ca"))
+            many = placed.select("signature", F.col("item").alias("b"), F.col("component").alias("cb"), "top")
+            met = few.join(many, "signature").where("ca <> cb and (cb = top or a < b)")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            # A leader of the largest component, another one each round.
-            heads = placed.where("component = top").groupBy("signature").agg(F.min_by(F.struct(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), F.xxhash64("item", F.lit(k))).alias("head"))
-            met = placed.join(heads.select("signature", "head.*"), "signature").withColumnsRenamed({"item": "a", "n": "na"}).where(f"component <> cb and {near('na', 'nb')}")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # One leader out of each signature's largest component, and for each item the leader that it meets most.
+            heads = placed.where("component = top").groupBy("signature").agg(F.min_by(F.struct(F.col("item").alias("b"), F.col("component").alias("cb")), F.xxhash64("item", F.lit(k))).alias("head"))
+            met = placed.join(heads.select("signature", "head.*"), "signature").where("component <> cb").groupBy("item", "b").agg(F.count(F.lit(1)).alias("c"))
+            pairs = met.groupBy("item").agg(F.max(F.struct("c", "b")).alias("best")).select(F.col("item").alias("a"), F.col("best.b").alias("b"))
+        pairs = stored(possible(pairs, fronts, percent), "join-pairs")
+        need = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()
+        need = (need if sets is None else need.join(sets.select("item"), "item", "left_anti")).select(F.col("item").alias("wanted"))
+        texts = one_each(docs.join(need, docs["doc_id"] == need["wanted"], "left_semi"), "doc_id")
+        more = stored(_mapped_sets(texts, words, "tokens", lambda x: x), "join-sets")
+        sets = more if sets is None else sets.unionByName(more)
         new = stored(verified(pairs, sets, percent), "join-links")
-        links = new if links is None else links.union(new)
-        if whole or new.take(1):
+        if new.take(1):
+            links = new if links is None else links.union(new)
             found = components(links)
-            parts = stored(parts.select("item").join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component")), "join-parts")
+            parts = stored(wanted.join(found, "item", "left").select("item", F.coalesce("component", "item").alias("component")), "join-parts")
         if whole:
             break
 
-    joined = parts.select("item", "component")
-    of_set = reps.join(joined, "item", "left").select("set_a", "set_b", F.coalesce("component", "item").alias("component_id"))
+    of_set = reps.join(parts, "item", "left").select("set_a", "set_b", F.coalesce("component", "item").alias("component_id"))
     return formed.join(of_set, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def _repeats(formed: DataFrame) -> bool:
-    """Whether a ``doc_id`` stands in more than one row."""
-    return bool(formed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").take(1))
-
-
 def thinned(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest ``doc_id``; rows without a component stay."""
     found = similar(docs, words, percent)
