@@ -20,6 +20,7 @@ alphabetical order. Repeated rows count each; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ LENGTHS = (4, 3, 2, 1)
 #: Log probability for what a language does not have, and how much less sure n-grams are than words.
 FLOOR = -16.0
 BACK_OFF = 0.4
-#: Entries that a task counts before it sends them on, and that a worker's cache holds.
-HELD = 400_000
+#: Entries that a task counts before it sends them on, and unseen words that a worker holds.
+HELD = 600_000
 #: The pipeline keeps documents with at least this score.
 LEAST_SCORE = 0.5
 
@@ -111,52 +112,109 @@ def _frequent(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 
 class Model:
-    """Log frequencies by language for known words and for n-grams of each length."""
+    """Log frequencies by language for known words and for n-grams of each length.
+
+    ``tables`` has known words under 0 and n-grams under their length. Rows of words
+    stand in one matrix; words that are unseen get theirs from n-grams when they
+    first turn up, and are held for the next texts, up to ``HELD``.
+    """
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
         self.langs, self.tables = langs, tables
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > HELD:
-                self.cache.clear()
-            found = self.cache[word] = self._grams(word)
-        return found
-
-    def _grams(self, word: str) -> np.ndarray:
-        """Mean over the 4-grams, each replaced by its shorter parts while it is unseen."""
-        padded = f" {word} "
-        first = min(LENGTHS[0], len(padded))
-        parts = [(padded[i : i + first], 1.0) for i in range(len(padded) - first + 1)]
-        total, weight = np.zeros(len(self.langs)), 0.0
-        while parts:
-            gram, share = parts.pop()
-            row = self.tables[len(gram)].get(gram)
-            if row is not None:
-                total += share * row
-                weight += share
-            elif len(gram) > 1:
-                parts += [(gram[:-1], share * BACK_OFF), (gram[1:], share * BACK_OFF)]
-        return total / weight if weight else total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        text = text or ""
-        words = words_of(text) if self.langs and any(map(str.isalpha, text)) else []
-        if not words:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for w, n in Counter(words).items():
-            total += n * self.word(w)
-        # Words of a text are not independent: the sum is tempered to a mean of a few words' worth.
-        x = total / len(words) * min(len(words), 20)
-        p = np.exp(x - x.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+        grams = [(g, row) for n in LENGTHS for g, row in tables.get(n, {}).items()]
+        self.gram = {g: i for i, (g, _) in enumerate(grams)}
+        self.gram_rows = np.array([r for _, r in grams]).reshape(len(grams), len(langs))
+        self.known_rows = np.array(list(tables.get(0, {}).values())).reshape(-1, len(langs))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = {w: i for i, w in enumerate(self.tables.get(0, {}))}
+        self.rows, self.used = self.known_rows, len(self.known_rows)
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows of unseen words: the mean of their 4-grams, each replaced by its shorter parts while it is unseen."""
+        get, at, share, begin = self.gram.get, [], [], []
+        for word in words:
+            begin.append(len(at))
+            padded = f" {word} "
+            first = min(LENGTHS[0], len(padded))
+            for i in range(len(padded) - first + 1):
+                k = get(padded[i : i + first])
+                if k is not None:
+                    at.append(k)
+                    share.append(1.0)
+                    continue
+                parts = [(padded[i : i + first], 1.0)]
+                while parts:
+                    gram, weight = parts.pop()
+                    k = get(gram)
+                    if k is not None:
+                        at.append(k)
+                        share.append(weight)
+                    elif len(gram) > 1:
+                        parts += [(gram[:-1], weight * BACK_OFF), (gram[1:], weight * BACK_OFF)]
+        sizes = np.diff([*begin, len(at)])
+        new = np.zeros((len(words), len(self.langs)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            weight = np.array(share)
+            starts = np.array(begin)[some]
+            new[some] = np.add.reduceat(self.gram_rows[at] * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        if self.used + len(new) > len(self.rows):
+            room = np.zeros((max(len(new), len(self.rows), 1024), len(self.langs)))
+            self.rows = np.concatenate([self.rows[: self.used], room])
+        self.rows[self.used : self.used + len(new)] = new
+        self.used += len(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        if len(self.index) > len(self.known_rows) + HELD:
+            self._forget()
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        index, used, unseen = self.index, self.used, []
+        at, times, begin, which = [], [], [], []
+        for k, text in enumerate(texts):
+            if not text or not any(map(str.isalpha, text)):
+                continue
+            counts = Counter(words_of(text))
+            if not counts:
+                continue
+            begin.append(len(at))
+            which.append(k)
+            for w in counts:
+                i = index.get(w)
+                if i is None:
+                    i = index[w] = used + len(unseen)
+                    unseen.append(w)
+                at.append(i)
+            times.extend(counts.values())
+        if unseen:
+            self._learn(unseen)
+        if which:
+            times = np.array(times, dtype=float)
+            total = np.add.reduceat(self.rows[at] * times[:, None], begin)
+            n = np.add.reduceat(times, begin)
+            # Words of a text are not independent: the sum is tempered to a mean of a few words' worth.
+            x = total * (np.minimum(n, 20) / n)[:, None]
+            p = np.exp(x - x.max(axis=1, keepdims=True))
+            best = p.argmax(axis=1)
+            score = p[np.arange(len(p)), best] / p.sum(axis=1)
+            for k, b, v in zip(which, best.tolist(), score.tolist(), strict=True):
+                out[k] = (self.langs[b], v)
+        return out
+
+
+_models: dict[str, Model] = {}
+
+
+def held_model(name: str, langs: list[str], tables: dict) -> Model:
+    """The model of this name in this worker process, with the words that earlier tasks looked up."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(langs, tables)
+    return _models[name]
 
 
 def learned(docs: DataFrame) -> Model:
@@ -188,12 +246,12 @@ def learned(docs: DataFrame) -> Model:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; only the text enters a prediction."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+        own = held_model(*sent.value)
         for batch in batches(source, most_bytes=2_000_000):
-            out = [own.predict(t) for t in batch.column("text").to_pylist()]
+            out = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -205,12 +263,12 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those that have no letter or no clear language; columns as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+        own = held_model(*sent.value)
         for batch in batches(source, most_bytes=2_000_000):
-            out = [own.predict(t) for t in batch.column("text").to_pylist()]
+            out = own.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in out], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
