@@ -9,8 +9,10 @@ whatever tokens a partner may lack, one rare token or one combination is left in
 common: over parts, the sum of (tokens - 1), plus the rare tokens, exceeds the
 number that may be missing.
 
-Frequent is a token that stands in so many prefixes that at most ``MOST_FREQUENT``
-tokens can; that set alone is sent to the tasks. Exact copies of a set are one item.
+Frequent is a token that stands in ``LEAST_FREQUENT`` prefixes, or shares its bit with
+one in a table of ``BITS`` bits. The classes may be any function of the token, so
+bits that are shared cost time only, and what is sent to the tasks has one size
+for any corpus. Exact copies of a set are one item.
 
 Candidates are the items under one signature. Where signatures hold large groups,
 items are first held against leaders, one an item, which is linear and joins the
@@ -42,8 +44,12 @@ from tracekiln.llm.bpe import mixed, slice_hashes
 from tracekiln.llm.common import batches, stored
 from tracekiln.llm.secret_scan import _LOWER, utf8
 
-MOST_FREQUENT = 1 << 16
-LEAST_FREQUENT = 32
+#: Prefixes that a frequent token stands in, at least.
+LEAST_FREQUENT = 8
+#: Size of the table of frequent tokens, in bits. A token counts as frequent if its bit is set.
+BITS = 1 << 26
+#: Bits that one row of the table has, by Spark's bitmap functions.
+_ROW = 1 << 15
 #: From which set size on the frequent class has how many parts; fewer parts than what two sets must share.
 PARTS = ((0, 1), (128, 16), (1024, 64), (8192, 256))
 #: Rounds against leaders, before all that is left between components is compared.
@@ -93,18 +99,13 @@ def parts_of(size: int) -> int:
     return next(m for least, m in reversed(PARTS) if size >= least)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set: rare tokens of its prefix, and combinations of frequent ones."""
+def signatures(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set, whose tokens are frequent or not: rare tokens of its prefix, and combinations of frequent ones."""
     n = len(tokens)
     if n < 2:  # a partner of a single token is an exact copy
         return tokens[:0]
     lack = n - shared_least(n, percent)
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        often = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-        rare, common = tokens[~often], tokens[often]
-    else:
-        rare, common = tokens, tokens[:0]
+    rare, common = tokens[~often], tokens[often]
     if len(rare) > lack:
         return rare[: lack + 1]
     out = [rare]
@@ -132,6 +133,23 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.concatenate(out)
 
 
+def held(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which tokens have their bit set."""
+    at = tokens & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def frequent_bits(formed: DataFrame) -> np.ndarray:
+    """The table of frequent tokens, put together on the executors; BITS / 8 bytes whatever the corpus."""
+    counts = formed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    place = F.col("token").bitwiseAND(F.lit(BITS - 1))
+    rows = counts.select(place.alias("p")).groupBy(F.floor(F.col("p") / _ROW).alias("row")).agg(F.bitmap_construct_agg((F.col("p") % _ROW).cast("int")).alias("bits"))
+    out = np.zeros((BITS // _ROW, _ROW // 8), dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["row"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.uint64)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
@@ -219,18 +237,12 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     again = bool(formed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").take(1))
     reps = stored(formed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("item")), "join-items")
     items = reps.where("item is not null").select("item")
-    total = formed.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    # Each has at least this many of `total` places, so there are at most MOST_FREQUENT.
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
-    counts = formed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    frequent = np.array([r[0] for r in counts.select("token").collect()], dtype=np.int64).view(np.uint64)
-    frequent.sort()
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_bits(formed))
 
     def one_each(rows: DataFrame, key: str) -> DataFrame:
         return rows.dropDuplicates([key]) if again else rows
 
-    signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, sent.value, percent)).select("item", "signatures")
+    signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, held(x, sent.value), percent)).select("item", "signatures")
     own = one_each(signed.join(items, "item", "left_semi"), "item")
     posted = own.select("item", F.explode("signatures").alias("signature"))
     shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("signature")
