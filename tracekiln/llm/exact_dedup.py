@@ -147,13 +147,22 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Rows repeated under one ``doc_id`` leave one."""
-    stays = exact_groups(docs).where("kept").select(F.col("doc_id").alias("stays"))
-    left = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["stays"]), "left_semi")
-    ids = stored(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "dedup-repeats")
-    if not ids.take(1):
-        return left
-    again = left.join(ids, left["doc_id"].eqNullSafe(ids["again"]), "left_semi")
-    # The same identifier with different texts is two documents: only equal texts are thinned out.
-    first = again.withColumn("__norm", normalised("text")).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
-    return left.join(ids, left["doc_id"].eqNullSafe(ids["again"]), "left_anti").unionByName(first)
+    """The rows of ``docs`` that stay, with their columns; of rows repeated whole, one stays.
+
+    Rows are matched by ``doc_id`` and digest, so that an identifier given to different
+    texts does no harm.
+    """
+    found = stored(exact_groups(docs).select("doc_id", "text_sha256", "kept"), "dedup-members")
+    key = sha256(normalised(docs["text"]))
+
+    def of(rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (key == rows["__digest"]), how)
+
+    counts = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept")
+    counts = stored(counts, "dedup-stays")
+    once = of(counts.where("n = 1"), "left_semi")
+    if not counts.where("n > 1").take(1):
+        return once
+    again = of(counts.where("n > 1"), "left_semi").withColumn("__digest", sha256(normalised("text")))
+    return once.unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
