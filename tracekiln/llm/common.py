@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracekiln_path = path
+    return out
+
+
+def freed(*frames: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more, and lets Spark drop finished shuffles."""
+    for df in frames:
+        if df is not None:
+            dropped_folder(df.sparkSession, df._tracekiln_path)
+            session = df.sparkSession
+    gc.collect()
+    session._jvm.System.gc()
 
 
 def dropped_folder(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ whatever tokens a partner may lack, one rare token or one combination is left in
 common: over parts, the sum of (tokens - 1), plus the rare tokens, exceeds the
 number that may be missing.
 
-Frequent is a token that stands in ``LEAST_FREQUENT`` prefixes, or shares its bit with
+Frequent is a token that stands in the fronts of ``LEAST_FREQUENT`` sets, or shares its bit with
 one in a table of ``BITS`` bits. The classes may be any function of the token, so
 bits that are shared cost time only, and what is sent to the tasks has one size
 for any corpus. Exact copies of a set are one item.
@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekiln.llm.bpe import mixed, slice_hashes
-from tracekiln.llm.common import batches, stored
+from tracekiln.llm.common import batches, freed, stored
 from tracekiln.llm.secret_scan import _LOWER, utf8
 
 #: Prefixes that a frequent token stands in, at least.
 LEAST_FREQUENT = 8
+#: How much further than an unextended prefix tokens are counted, since frequent ones make room for others.
+COUNTED_PERCENT = 160
 #: Size of the table of frequent tokens, in bits. A token counts as frequent if its bit is set.
 BITS = 1 << 26
 #: Bits that one row of the table has, by Spark's bitmap functions.
@@ -64,6 +66,11 @@ def shared_least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def counted(n: int, percent: int) -> int:
+    """How many tokens by value alone make the front of a set of n."""
+    return -(-COUNTED_PERCENT * (n - shared_least(n, percent) + 1) // 100)
+
+
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """Sorted distinct tokens of each text, from all their bytes."""
     space = np.ones(len(data) + 2, dtype=bool)
@@ -157,7 +164,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def shapes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's hash, and its prefix by value alone."""
+    """doc_id, n_shingles, two halves of the set's hash, and its front by value alone."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -169,7 +176,7 @@ def shapes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(np.array([mixed(x).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)),
                     pa.array(np.array([mixed(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)),
-                    _lists([x[: len(x) - shared_least(len(x), percent) + 1] for x in sets]),
+                    _lists([x[: counted(len(x), percent)] for x in sets]),
                 ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "prefix"],
             )
@@ -195,12 +202,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("item"), "label"), "join-labels")
     while True:
         near = both.join(labels.select(F.col("item").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["item"] == near["a"]).select("item", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        met = labels.select("item", "label").join(near, labels["item"] == near["a"]).select("item", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("item").alias("label"), F.col("label").alias("further"))
         new = stored(met.join(jump, "label", "left").select("item", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "join-labels")
-        if not new.where("old <> label").take(1):
+        done = not new.where("old <> label").take(1)
+        freed(labels)
+        if done:
+            freed(both)
             return new.select("item", F.col("label").alias("component"))
-        labels = new.select("item", "label")
+        labels = new
 
 
 def possible(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
@@ -251,6 +261,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     fronts = stored(one_each(formed.select(F.col("doc_id").alias("item"), F.col("n_shingles").alias("n"), "prefix").join(wanted, "item", "left_semi"), "item"), "join-fronts")
     parts = wanted.withColumn("component", F.col("item"))
     links = sets = None
+    scratch = [postings, fronts]
 
     for k in range(ROUNDS + 1):
         placed = postings.join(parts, "item")
@@ -281,7 +292,10 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         texts = one_each(docs.join(need, docs["doc_id"] == need["wanted"], "left_semi"), "doc_id")
         more = stored(_mapped_sets(texts, words, "tokens", lambda x: x), "join-sets")
         sets = more if sets is None else sets.unionByName(more)
+        scratch += [more]
         new = stored(verified(pairs, sets, percent), "join-links")
+        scratch += [new]
+        freed(pairs, open_ones)
         if new.take(1):
             links = new if links is None else links.union(new)
             found = components(links)
@@ -289,6 +303,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         if whole:
             break
 
+    freed(*scratch)
     of_set = reps.join(parts, "item", "left").select("set_a", "set_b", F.coalesce("component", "item").alias("component_id"))
     return formed.join(of_set, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
