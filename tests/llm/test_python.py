@@ -192,7 +192,7 @@ def test_personal_data(spark):
         assert [rows[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x[1] == k for x in want) for k in range(4)]
         assert set(said.split(",")) - {""} <= set(rows[i]["spans"].split(","))
     assert rows[2]["n_ip"] == 2 and rows[4]["n_phone"] == 1 and rows[3]["n_card"] == 1
-    assert rows[5]["spans"] == "number:5:17,contact:21:47" and rows[6]["spans"] == ""
+    assert rows[5]["spans"] == "number:5:17,contact:21:48" and rows[6]["spans"] == ""
     clean = pii.redacted(documents(spark, [PII[5], None])).orderBy("doc_id").collect()
     assert [r["text"] for r in clean] == ["call <number> or <contact>", None]
 

@@ -124,7 +124,8 @@ class Model:
         grams = [(g, row) for n in LENGTHS for g, row in tables.get(n, {}).items()]
         self.gram = {g: i for i, (g, _) in enumerate(grams)}
         self.gram_rows = np.array([r for _, r in grams]).reshape(len(grams), len(langs))
-        self.known_rows = np.array(list(tables.get(0, {}).values())).reshape(-1, len(langs))
+        words = list(tables.get(0, {}).values())
+        self.known_rows = np.array(words).reshape(len(words), len(langs))
         self._forget()
 
     def _forget(self) -> None:
