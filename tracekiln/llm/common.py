@@ -52,14 +52,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def freed(*frames: DataFrame | None) -> None:
-    """Deletes what ``stored`` wrote, once nothing reads it any more, and lets Spark drop finished shuffles."""
+def freed(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for frames that nothing reads any more.
+
+    Frames that are no longer referred to then go on both sides, and Spark removes
+    the shuffle files of their jobs, which it else does when its driver is short of memory.
+    """
     for df in frames:
-        if df is not None:
-            dropped_folder(df.sparkSession, df._tracekiln_path)
-            session = df.sparkSession
+        dropped_folder(spark, df._tracekiln_path)
     gc.collect()
-    session._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def dropped_folder(spark: SparkSession, path: str) -> None:

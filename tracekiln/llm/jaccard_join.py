@@ -206,9 +206,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("item").alias("label"), F.col("label").alias("further"))
         new = stored(met.join(jump, "label", "left").select("item", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "join-labels")
         done = not new.where("old <> label").take(1)
-        freed(labels)
+        freed(links.sparkSession, *[labels, both] if done else [labels])
         if done:
-            freed(both)
             return new.select("item", F.col("label").alias("component"))
         labels = new
 
@@ -247,16 +246,22 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     again = bool(formed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").take(1))
     reps = stored(formed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("item")), "join-items")
     items = reps.where("item is not null").select("item")
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_bits(formed))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(frequent_bits(formed))
+    freed(spark)
 
     def one_each(rows: DataFrame, key: str) -> DataFrame:
         return rows.dropDuplicates([key]) if again else rows
 
-    signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, held(x, sent.value), percent)).select("item", "signatures")
-    own = one_each(signed.join(items, "item", "left_semi"), "item")
-    posted = own.select("item", F.explode("signatures").alias("signature"))
-    shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("signature")
-    postings = stored(posted.join(shared, "signature", "left_semi"), "join-postings")
+    def posting_lists() -> DataFrame:
+        """item, signature for signatures that more than one item has."""
+        signed = _mapped_sets(docs, words, "signatures", lambda x: signatures(x, held(x, sent.value), percent)).select("item", "signatures")
+        posted = one_each(signed.join(items, "item", "left_semi"), "item").select("item", F.explode("signatures").alias("signature"))
+        shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("signature")
+        return stored(posted.join(shared, "signature", "left_semi"), "join-postings")
+
+    postings = posting_lists()
+    freed(spark)
     wanted = stored(postings.select("item").distinct(), "join-wanted")
     fronts = stored(one_each(formed.select(F.col("doc_id").alias("item"), F.col("n_shingles").alias("n"), "prefix").join(wanted, "item", "left_semi"), "item"), "join-fronts")
     parts = wanted.withColumn("component", F.col("item"))
@@ -295,7 +300,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         scratch += [more]
         new = stored(verified(pairs, sets, percent), "join-links")
         scratch += [new]
-        freed(pairs, open_ones)
+        placed = by_part = few = many = met = heads = need = texts = None
+        freed(spark, pairs, open_ones)
         if new.take(1):
             links = new if links is None else links.union(new)
             found = components(links)
@@ -303,7 +309,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         if whole:
             break
 
-    freed(*scratch)
+    sets = links = None
+    freed(spark, *scratch)
     of_set = reps.join(parts, "item", "left").select("set_a", "set_b", F.coalesce("component", "item").alias("component_id"))
     return formed.join(of_set, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
