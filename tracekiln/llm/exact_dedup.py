@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekiln.llm.common import SPACE, dropped_folder, shared_path, stored, text_or_empty
+from tracekiln.llm.common import SPACE, dropped_folder, freed, shared_path, stored, text_or_empty
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -135,7 +135,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
         )
 
     if not bad.take(1):
-        return rows(log, groups)
+        out = rows(log, groups)
+        log._tracekiln_path = log_path
+        out._tracekiln_sources = [log, groups, bad]
+        return out
     # Different texts under one digest: these are decided by their bytes.
     by_text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), normalised(docs["text"]).alias("norm"), F.length(text_or_empty(docs["text"])).cast("long").alias("n_points"), F.input_file_name().alias("locator"))
     by_text = by_text.withColumn("digest", digest(F.col("norm"))).join(bad, "digest", "left_semi").withColumn("row_id", F.monotonically_increasing_id())
@@ -152,7 +155,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows are matched by ``doc_id`` and digest, so that an identifier given to different
     texts does no harm.
     """
-    found = stored(exact_groups(docs).select("doc_id", "text_sha256", "kept"), "dedup-members")
+    groups = exact_groups(docs)
+    found = stored(groups.select("doc_id", "text_sha256", "kept"), "dedup-members")
+    sources = getattr(groups, "_tracekiln_sources", [])
+    del groups
+    freed(docs.sparkSession, *sources)
     key = sha256(normalised(docs["text"]))
 
     def of(rows: DataFrame, how: str) -> DataFrame:
@@ -161,6 +168,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     counts = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept")
     counts = stored(counts, "dedup-stays")
+    freed(docs.sparkSession, found)
     once = of(counts.where("n = 1"), "left_semi")
     if not counts.where("n > 1").take(1):
         return once

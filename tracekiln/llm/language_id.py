@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracekiln.llm.common import batches, stored
+from tracekiln.llm.common import batches, freed, stored
 
 RARE = 1 << 17
 LENGTHS = (4, 3, 2, 1)
@@ -242,6 +242,7 @@ def learned(docs: DataFrame) -> Model:
         totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         tables[n] = {}
         fill(tables[n], _frequent(own, "gram")[0], "gram", totals)
+    freed(docs.sparkSession, counts, grams)
     return Model(langs, tables)
 
 
