@@ -331,3 +331,25 @@ def test_frequent_bits(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, prefix array<long>")
     got = jaccard_join.held(tokens, jaccard_join.frequent_bits(df))
     assert got.tolist() == [k % 4 >= 3 for k in range(40)]
+
+
+def test_rare_language_keeps_all_its_words(spark, monkeypatch):
+    """Most words of the language with few documents stand in the table, and results are the same as with all words held."""
+    r = random.Random(4)
+    words = {x: ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(n)] for x, n in (("aa", 300), ("bb", 1500))}
+    texts = [(i, " ".join(r.choice(words["aa"]) for _ in range(500)), "aa") for i in range(400)] + [(i, " ".join(r.choice(words["bb"]) for _ in range(60)), "bb") for i in range(400, 440)]
+    trained = {w for i, t, _ in texts if zlib.crc32(str(i).encode()) % 5 for w in t.split()}
+    texts += [(500, None, "aa"), (501, "1 2", "aa"), (None, "unseenword", "bb"), (502, "zzzzz qqq ñandú", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    rows = lambda model: sorted(((x["doc_id"] or -1, x["held_out"], x["lang_pred"], x["score"]) for x in language_id.predicted(docs, model).collect()))
+    whole = language_id.learned(docs)
+    assert whole.rest is None and set(whole.tables[0][0]) == trained
+    want = rows(whole)
+    monkeypatch.setattr(language_id, "HELD_WHOLE", 0)
+    monkeypatch.setattr(language_id, "HELD_WORDS", 500)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 100)
+    model = language_id.learned(docs)
+    assert model.rest is not None and len(model.tables[0][0]) + model.rest[0].count() == len(trained)
+    assert rows(model) == want
+    assert all(lang == "bb" and score > 0.99 for i, held, lang, score in want if held and 400 <= i < 440)
+    assert sorted(x["doc_id"] or -1 for x in language_id.identified(docs, model).collect()) == sorted(x["doc_id"] or -1 for x in language_id.identified(docs, whole).collect())

@@ -5,10 +5,14 @@ known is scored by its log frequency in each language; an unseen word falls back
 to character 4-grams, a 4-gram that is unseen to its 3-grams, and so on to single
 letters. Scores of a document's words are added up and turned into a part of 1.
 
-Known words are those with at least ``1 / RARE`` of all counted words, so there
-are at most ``RARE`` of them whatever the size of the corpus; n-grams are kept by
-the same rule for each length. The model is bounded by that, and is sent to the
-tasks; counts are sums over all rows.
+Every word and n-gram of the training rows is known, however rare it or its
+language is; counts are sums over all rows. Words with at least ``1 / HELD_WORDS``
+of all counted words are sent to the tasks, and n-grams with ``1 / HELD_GRAMS`` of
+their length (all, up to ``HELD_WHOLE`` of them), so that what a task holds is
+bounded. All others stand in a table
+that the words of the documents are joined with. Log frequencies are whole
+multiples of ``1 / UNIT``, so sums, and with them the results, are the same
+whatever is held in the tasks.
 
 Defined cases: training uses rows with non-null text and lang and with
 ``crc32(doc_id as text) mod 5 <> 0``; a null ``doc_id`` is never trained on and
@@ -23,6 +27,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 
 from tracekiln.llm.common import batches, freed, stored
 
-RARE = 1 << 17
+HELD_WORDS = 1 << 20
+HELD_GRAMS = 1 << 18
+#: So many words, and n-grams of a length, are all held.
+HELD_WHOLE = 1 << 17
 LENGTHS = (4, 3, 2, 1)
 #: Log probability for what a language does not have, and how much less sure n-grams are than words.
 FLOOR = -16.0
 BACK_OFF = 0.4
+UNIT = 1 << 32
 #: Entries that a task counts before it sends them on, and unseen words that a worker holds.
 HELD = 600_000
 #: The pipeline keeps documents with at least this score.
@@ -104,51 +113,78 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return counted.select("lang", F.length("gram").alias("size"), "gram", "n")
 
 
-def _frequent(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Keys with at least 1 / RARE of all counts, and the sum of all counts."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    sums = counts.groupBy(key).agg(F.sum("n").alias("all")).where(F.col("all") * RARE >= total).select(F.col(key).alias("kept"))
-    return counts.join(sums, counts[key] == sums["kept"], "left_semi"), total
+def _rows(counts: DataFrame, key: str, langs: list[str]) -> tuple[DataFrame, int]:
+    """key, all, row: the log frequency in each language of every key, in units; and the sum of all counts."""
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    by_key = counts.groupBy(key).agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n_{i}") for i, x in enumerate(langs)])
+    least = F.lit(FLOOR)
+    logs = [F.greatest(F.coalesce(F.log(F.col(f"n_{i}") / F.lit(float(max(1, sums.get(x, 0))))), least), least) for i, x in enumerate(langs)]
+    return by_key.select(key, "all", F.array(*[F.rint(v * F.lit(float(UNIT))).cast("long") for v in logs]).alias("row")), sum(sums.values())
+
+
+Table = tuple[list[str], np.ndarray]
 
 
 class Model:
     """Log frequencies by language for known words and for n-grams of each length.
 
-    ``tables`` has known words under 0 and n-grams under their length. Rows of words
-    stand in one matrix; words that are unseen get theirs from n-grams when they
-    first turn up, and are held for the next texts, up to ``HELD``.
+    ``tables`` has the words that tasks hold under 0 and n-grams under their length;
+    ``rest`` has frames (word, row) and (gram, row) of all others, if there are any.
+    Rows of words stand in one matrix; words that are unseen get theirs from n-grams
+    when they first turn up, and are held for the next texts, up to ``HELD``.
     """
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
-        grams = [(g, row) for n in LENGTHS for g, row in tables.get(n, {}).items()]
-        self.gram = {g: i for i, (g, _) in enumerate(grams)}
-        self.gram_rows = np.array([r for _, r in grams]).reshape(len(grams), len(langs))
-        words = list(tables.get(0, {}).values())
-        self.known_rows = np.array(words).reshape(len(words), len(langs))
+    def __init__(self, langs: list[str], tables: dict[int, Table], rest: tuple[DataFrame, DataFrame] | None = None):
+        self.langs, self.tables, self.rest = langs, tables, rest
+        none: Table = ([], np.zeros((0, len(langs)), dtype=np.int64))
+        held = [tables.get(n, none) for n in LENGTHS]
+        self.gram = {g: i for i, g in enumerate(g for names, _ in held for g in names)}
+        self.gram_rows = np.concatenate([rows for _, rows in held])
+        self.words, self.known_rows = tables.get(0, none)
         self._forget()
 
     def _forget(self) -> None:
-        self.index = {w: i for i, w in enumerate(self.tables.get(0, {}))}
+        self.index = {w: i for i, w in enumerate(self.words)}
         self.rows, self.used = self.known_rows, len(self.known_rows)
 
-    def _learn(self, words: list[str]) -> None:
-        """Rows of unseen words: the mean of their 4-grams, each replaced by its shorter parts while it is unseen."""
-        get, at, share, begin = self.gram.get, [], [], []
+    def missing(self, word: str) -> set[str]:
+        """N-grams of an unseen word that are not held and may be needed for its row."""
+        padded = f" {word} "
+        first = min(LENGTHS[0], len(padded))
+        out: set[str] = set()
+        parts = [padded[i : i + first] for i in range(len(padded) - first + 1)]
+        while parts:
+            gram = parts.pop()
+            if gram not in self.gram and gram not in out:
+                out.add(gram)
+                if len(gram) > 1:
+                    parts += [gram[:-1], gram[1:]]
+        return out
+
+    def unseen(self, words: list[str], more: dict[str, list[int]] | None = None) -> np.ndarray:
+        """Rows of unseen words: the mean of their 4-grams, each replaced by its shorter parts while it is unseen.
+
+        ``more`` has n-grams that are known but not held.
+        """
+        known, rows = self.gram, self.gram_rows
+        if more:
+            names = list(more)
+            extra = {g: len(rows) + i for i, g in enumerate(names)}
+            rows = np.concatenate([rows, np.array([more[g] for g in names], dtype=np.int64)])
+        else:
+            extra = {}
+        at, share, begin = [], [], []
         for word in words:
             begin.append(len(at))
             padded = f" {word} "
             first = min(LENGTHS[0], len(padded))
             for i in range(len(padded) - first + 1):
-                k = get(padded[i : i + first])
-                if k is not None:
-                    at.append(k)
-                    share.append(1.0)
-                    continue
                 parts = [(padded[i : i + first], 1.0)]
                 while parts:
                     gram, weight = parts.pop()
-                    k = get(gram)
+                    k = known.get(gram)
+                    if k is None:
+                        k = extra.get(gram)
                     if k is not None:
                         at.append(k)
                         share.append(weight)
@@ -160,15 +196,41 @@ class Model:
         if len(some):
             weight = np.array(share)
             starts = np.array(begin)[some]
-            new[some] = np.add.reduceat(self.gram_rows[at] * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+            new[some] = np.add.reduceat(rows[at] * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        return np.rint(new).astype(np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        new = self.unseen(words)
         if self.used + len(new) > len(self.rows):
-            room = np.zeros((max(len(new), len(self.rows), 1024), len(self.langs)))
+            room = np.zeros((max(len(new), len(self.rows), 1024), len(self.langs)), dtype=np.int64)
             self.rows = np.concatenate([self.rows[: self.used], room])
         self.rows[self.used : self.used + len(new)] = new
         self.used += len(new)
 
+    def scored(self, total: np.ndarray, n: np.ndarray) -> list[tuple[str, float]]:
+        """(language, score) for sums of rows over ``n`` words each."""
+        # Words of a text are not independent: the sum is tempered to a mean of a few words' worth.
+        x = total / UNIT * (np.minimum(n, 20) / n)[:, None]
+        p = np.exp(x - x.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        score = p[np.arange(len(p)), best] / p.sum(axis=1)
+        return [(self.langs[b], v) for b, v in zip(best.tolist(), score.tolist(), strict=True)]
+
+    def held_sums(self, texts: list[str | None]) -> list[tuple[list[int], int, dict[str, int]]]:
+        """For each text: the sum of its held words' rows, its number of words, and its other words with their counts."""
+        out = []
+        for text in texts:
+            counts = Counter(words_of(text or ""))
+            other = {w: k for w, k in counts.items() if w not in self.index}
+            at = [self.index[w] for w in counts if w not in other]
+            times = np.array([k for w, k in counts.items() if w not in other], dtype=np.int64)
+            out.append(((self.rows[at] * times[:, None]).sum(axis=0).tolist(), sum(counts.values()), other))
+        return out
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
+        """(language, score) of each text, for a model that is held whole."""
+        if self.rest:
+            raise ValueError("words of this model stand in a table: use predicted or identified")
         if len(self.index) > len(self.known_rows) + HELD:
             self._forget()
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -194,16 +256,10 @@ class Model:
         if unseen:
             self._learn(unseen)
         if which:
-            times = np.array(times, dtype=float)
+            times = np.array(times, dtype=np.int64)
             total = np.add.reduceat(self.rows[at] * times[:, None], begin)
-            n = np.add.reduceat(times, begin)
-            # Words of a text are not independent: the sum is tempered to a mean of a few words' worth.
-            x = total * (np.minimum(n, 20) / n)[:, None]
-            p = np.exp(x - x.max(axis=1, keepdims=True))
-            best = p.argmax(axis=1)
-            score = p[np.arange(len(p)), best] / p.sum(axis=1)
-            for k, b, v in zip(which, best.tolist(), score.tolist(), strict=True):
-                out[k] = (self.langs[b], v)
+            for k, x in zip(which, self.scored(total, np.add.reduceat(times, begin)), strict=True):
+                out[k] = x
         return out
 
 
@@ -220,34 +276,110 @@ def held_model(name: str, langs: list[str], tables: dict) -> Model:
 
 def learned(docs: DataFrame) -> Model:
     """The model of all training rows of ``docs`` (doc_id, text, lang)."""
+    spark = docs.sparkSession
     counts = stored(word_counts(docs), "language-words")
-    grams = stored(gram_counts(counts), "language-grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    tables: dict[int, dict[str, np.ndarray]] = {0: {}}
-    place = {x: i for i, x in enumerate(langs)}
-
-    def fill(to: dict[str, np.ndarray], frame: DataFrame, key: str, totals: dict[str, int]) -> None:
-        raw: dict[str, np.ndarray] = {}
-        for lang, k, n in frame.select("lang", key, "n").toLocalIterator():
-            raw.setdefault(k, np.zeros(len(langs)))[place[lang]] = n
-        size = np.array([max(1, totals.get(x, 0)) for x in langs], dtype=float)
-        for k, row in raw.items():
-            with np.errstate(divide="ignore"):
-                to[k] = np.maximum(np.log(row / size), FLOOR)
-
-    fill(tables[0], _frequent(counts, "word")[0], "word", sums)
-    for n in LENGTHS:
-        own = grams.where(F.col("size") == n)
-        totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        tables[n] = {}
-        fill(tables[n], _frequent(own, "gram")[0], "gram", totals)
-    freed(docs.sparkSession, counts, grams)
-    return Model(langs, tables)
+    if not langs:
+        freed(spark, counts)
+        return Model([], {})
+    grams = stored(gram_counts(counts), "language-grams")
+    tables: dict[int, Table] = {}
+    others: dict[int, DataFrame] = {}
+    kept = []
+    for size in (0, *LENGTHS):
+        key, share = ("gram", HELD_GRAMS) if size else ("word", HELD_WORDS)
+        rows, total = _rows(grams.where(F.col("size") == size) if size else counts, key, langs)
+        rows = stored(rows, f"language-rows-{size}")
+        if rows.count() <= HELD_WHOLE:
+            share = max(1, total)
+        held = rows.where(F.col("all") * share >= total).select(key, "row")
+        pairs = [(r[0], r[1]) for r in held.toLocalIterator()]
+        tables[size] = ([k for k, _ in pairs], np.array([v for _, v in pairs], dtype=np.int64).reshape(len(pairs), len(langs)))
+        rest = rows.where(F.col("all") * share < total).select(key, "row")
+        if rest.isEmpty():
+            kept.append(rows)
+        else:
+            others[size] = rest
+    freed(spark, counts, grams, *kept)
+    if not others:
+        return Model(langs, tables)
+    none = lambda key: spark.createDataFrame([], f"{key} string, row array<long>")
+    return Model(langs, tables, (others.get(0, none("word")), reduce(DataFrame.unionAll, [others[n] for n in LENGTHS if n in others] or [none("gram")])))
+
+
+def _unseen_rows(words: DataFrame, model: Model, sent) -> DataFrame:
+    """word, row of distinct unseen words; n-grams that tasks do not hold come by a join."""
+
+    def needed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held_model(*sent.value)
+        for batch in source:
+            pairs = [(w, g) for w in batch.column("word").to_pylist() for g in own.missing(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([g for _, g in pairs], pa.string())], names=["word", "gram"])
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held_model(*sent.value)
+        for batch in source:
+            found = batch.column("found").to_pylist()
+            more = {x["gram"]: x["row"] for part in found for x in part or []}
+            rows = own.unseen(batch.column("word").to_pylist(), more)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(rows.tolist(), pa.list_(pa.int64()))], names=["word", "row"])
+
+    found = words.mapInArrow(needed, "word string, gram string").join(model.rest[1], "gram").groupBy("word").agg(F.collect_list(F.struct("gram", "row")).alias("found"))
+    return words.join(found, "word", "left").select("word", "found").mapInArrow(made, "word string, row array<long>")
+
+
+def _joined(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` but the text, lang_pred and score, for a model that tasks do not hold whole."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
+    other = [c for c in docs.columns if c != "text"]
+    size = len(model.langs)
+
+    def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held_model(*sent.value)
+        for batch in batches(source, most_bytes=2_000_000):
+            sums, n, rare = zip(*own.held_sums(batch.column("text").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in other],
+                    pa.array(sums, pa.list_(pa.int64())),
+                    pa.array(n, pa.int64()),
+                    pa.array([list(x) for x in rare], pa.list_(pa.string())),
+                    pa.array([list(x.values()) for x in rare], pa.list_(pa.int64())),
+                ],
+                names=[*other, "held_sum", "n", "words", "times"],
+            )
+
+    def said(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held_model(*sent.value)
+        for batch in source:
+            n = np.array(batch.column("n").to_pylist(), dtype=np.int64)
+            out = [("und", 0.0)] * len(n)
+            some = np.flatnonzero(n)
+            if len(some):
+                total = np.array(batch.column("total").to_pylist(), dtype=np.int64)
+                for k, x in zip(some.tolist(), own.scored(total[some], n[some]), strict=True):
+                    out[k] = x
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in other], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*other, "lang_pred", "score"])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
+    parts = docs.mapInArrow(summed, f"{fields}, held_sum array<long>, n long, words array<string>, times array<long>")
+    parts = stored(parts.withColumn("row_key", F.monotonically_increasing_id()), "language-parts")
+    pairs = parts.select("row_key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row_key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    distinct = pairs.select("word").distinct()
+    unseen = stored(distinct.join(model.rest[0], "word", "left_anti"), "language-unseen")
+    known = model.rest[0].unionAll(_unseen_rows(unseen, model, sent))
+    sums = pairs.join(known, "word").groupBy("row_key").agg(*[F.sum(F.col("times") * F.col("row")[i]).alias(f"s_{i}") for i in range(size)])
+    total = F.array(*[F.col("held_sum")[i] + F.coalesce(F.col(f"s_{i}"), F.lit(0)) for i in range(size)]).alias("total")
+    whole = parts.drop("words", "times").join(sums, "row_key", "left").select(*other, "n", total)
+    return whole.mapInArrow(said, f"{fields + ', ' if other else ''}lang_pred string, score double")
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; only the text enters a prediction."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
+    if model.rest:
+        return _joined(rows, model)
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,12 +391,17 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those that have no letter or no clear language; columns as they are."""
+    if model.rest:
+        # The digest stands for the text, so that rows need no order and copies have one answer.
+        digest = F.sha2(F.col("text").cast("binary"), 256)
+        said = _joined(docs.select(digest.alias("digest"), "text"), model)
+        kept = said.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("digest").distinct()
+        return docs.join(kept, digest == kept["digest"], "left_semi")
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
