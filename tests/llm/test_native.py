@@ -154,3 +154,57 @@ def test_preferences_like_brute_force(spark):
     assert not got
     assert chat_format.preferences(chat_format.neighbours(df.limit(0))).count() == 0
     assert Counter(x["pair_id"] for x in chat_format.neighbours(df).collect())
+
+
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+
+
+def test_wrapped_licenses(spark):
+    texts = [APACHE, MIT, GPL, BSD, " ".join(APACHE.replace("*", "").split()), " ".join(MIT.split()), " ".join(BSD.split()), APACHE.replace("\n", "\r\n")]
+    texts += ["Released under\n\nthe MIT License.", "Released under the. MIT License.", "Prose\nReleased under the MIT\nLicense"]
+    got = [(r["sentence_ids"], r["licenses"]) for r in license_scan.licenses(documents(spark, texts)).orderBy("doc_id").collect()]
+    apache, mit, bsd = ("A1 A2 A3 A4", "Apache-2.0-notice"), ("M2 M3 M4", "MIT-text"), ("B1 B2", "BSD-text")
+    assert got == [apache, mit, ("G2 G3", "GPL-3.0-or-later-notice"), bsd, apache, mit, bsd, apache, ("", ""), ("", ""), ("M1", "MIT")]

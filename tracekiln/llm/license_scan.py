@@ -1,16 +1,18 @@
 r"""Operator 6 [native]: licence scans by sentence rules.
 
-A text is split into sentences (after ``.``, ``!`` or ``?`` before white space,
-and at line ends). Each sentence is normalised (lower case, runs of other
-characters than a-z and 0-9 as one space) and looked up among known licence
-sentences, so that a document becomes a short sequence of identifiers. Ordered
+A text is normalised (lower case, runs of other characters than a-z and 0-9 as one
+space) between its sentence ends (``.``, ``!`` or ``?`` before white space) and its
+line ends. Known licence sentences are found from such an end to another, over any
+single line ends and comment marks between their words, but not over blank lines or
+sentence ends; so a document becomes a short sequence of identifiers. Ordered
 rules over identifiers are then matched, longest first; what a rule matches
 takes no part in later ones.
 
 Defined cases: null and empty texts have no sentences and no licence. A repeated
 notice gives its licence once and its identifiers each time. Identifiers that no
 rule uses remain as ``unruled``. Repeated rows give equal rows; other columns are
-ignored.
+ignored. The SQL of the query finds sentences that stand on one line, as it has no
+wrapped ones; the query gives those rows, and more where a notice is wrapped.
 """
 
 from __future__ import annotations
@@ -40,6 +42,23 @@ SENTENCES = {
     "B2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "R1": "all rights reserved",
 }
+_AN = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+_USE = "the license you may not use this file except in compliance with the license"
+_URL = "you may obtain a copy of the license at{} www apache org licenses license 2 0"
+#: How genuine notices run sentences together, or write them otherwise: normalised, identifiers.
+VARIANTS = {
+    f"{SENTENCES['A1']} {_USE}": "A1 A2",
+    f"the asf licenses this file to you under the apache license version 2 0 {_USE}": "A1 A2",
+    f"the asf licenses this file under the apache license version 2 0 {_USE}": "A1 A2",
+    _URL.format(" https"): "A3",
+    f"{SENTENCES['A3']} {_AN}": "A3 A4",
+    f"{_URL.format(' https')} {_AN}": "A3 A4",
+    f"{SENTENCES['M2']} {SENTENCES['M3']}": "M2 M3",
+    **{f"{title} {SENTENCES['M2']}{rest}": ids for title in ("mit license", "the mit license") for rest, ids in (("", "M2"), (f" {SENTENCES['M3']}", "M2 M3"))},
+    SENTENCES["M4"].replace("noninfringement", "non infringement"): "M4",
+    f"{SENTENCES['B1']} 1": "B1",
+    f"{SENTENCES['B1']} {SENTENCES['B2']}": "B1 B2",
+}
 #: Fixed values: (licence, identifiers in order); the first that matches takes its sentences.
 RULES = (
     ("Apache-2.0-notice", "A1 A2 A3 A4"),
@@ -61,15 +80,24 @@ RULES = (
 ANY = r"(?i)licen[sc]e|permission|rights reserved|redistribution|warrant|compliance|copyright|free software"
 
 _ENDS = r"([.!?])[\x20\x09-\x0D]+"
+_STOP = "\x01"
+
+
+def _sentences() -> str:
+    """Every known sentence between two ends; its words stand on one line or on successive ones, a link below a blank one."""
+    known = sorted([*SENTENCES.values(), *VARIANTS], key=len, reverse=True)
+    words = "|".join(x.replace(" ", "[ \n]").replace("[ \n]http", "[ \n]\n?http") for x in known)
+    return rf"(?<![^\n{_STOP}])(?:{words})(?![^\n{_STOP}])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    sentences = F.split(F.regexp_replace(text, _ENDS, "$1\n"), "\n", -1)
-    plain = F.transform(sentences, lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
-    return F.when(text.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
+    known = F.create_map(*[F.lit(x) for k, v in [*((v, k) for k, v in SENTENCES.items()), *VARIANTS.items()] for x in (k, v)])
+    ended = F.regexp_replace(F.translate(F.lower(text), _STOP, " "), _ENDS, _STOP)
+    plain = F.regexp_replace(F.regexp_replace(ended, rf"[^a-z0-9\n{_STOP}]+", " "), rf"^ | $| ?([\n{_STOP}]) ?", "$1")
+    found = F.regexp_extract_all(plain, F.lit(_sentences()), F.lit(0))
+    ids = F.flatten(F.transform(found, lambda s: F.split(F.try_element_at(known, F.regexp_replace(s, "[ \n]+", " ")), " ")))
+    return F.when(text.rlike(ANY), ids).otherwise(F.array().cast("array<string>"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
