@@ -353,3 +353,13 @@ def test_rare_language_keeps_all_its_words(spark, monkeypatch):
     assert rows(model) == want
     assert all(lang == "bb" and score > 0.99 for i, held, lang, score in want if held and 400 <= i < 440)
     assert sorted(x["doc_id"] or -1 for x in language_id.identified(docs, model).collect()) == sorted(x["doc_id"] or -1 for x in language_id.identified(docs, whole).collect())
+
+
+def test_numbers_side_by_side_and_beside_base_spans():
+    trees, least = pii.trained()
+    said = lambda text: [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text, trees, least)]
+    assert said("call 10.10.10.10 555-123-4569") == [("ip", "10.10.10.10"), ("number", "555-123-4569")]
+    assert said("phone 555-123-4567 555-987-6543") == [("number", "555-123-4567"), ("number", "555-987-6543")]
+    two = "iban DE89 3704 0044 0532 0130 FR76 3000 6000 0112 3456"
+    assert {("account", 5, 29), ("account", 30, 54)} <= pii.proposed(two, [(0, len(two))])
+    assert pii.free_parts([(2, 0, 4), (3, 1, 8)], 10) == [(0, 2), (8, 10)]

@@ -1,6 +1,8 @@
 r"""Operator 4: personal data by boosted trees over candidate spans.
 
-High-recall generators propose overlapping spans. Each candidate is described by
+High-recall generators propose overlapping spans in what base spans leave: the
+longest ones, and those of numbers and accounts from every start of a token to
+every end of one. Each candidate is described by
 its format (digits, separators, lengths, checks) and by the words before it, and
 scored by gradient-boosted trees; a threshold for each kind, calibrated on
 held-out examples, selects what is redacted beside the base spans. Among selected
@@ -76,6 +78,10 @@ CANDIDATES = (
     ("network", re.compile(r"(?<![A-Za-z0-9:])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})(?![A-Za-z0-9:])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
+#: Generators that are also asked for each span between a start and an end of tokens, with the most code points of a span.
+STARTS = {"number": re.compile(r"(?<![0-9A-Za-z().-])[(0-9]"), "account": re.compile(r"(?<![A-Za-z0-9])[A-Z](?=[A-Z][0-9]{2})")}
+ENDS = {"number": re.compile(r"[0-9](?![0-9A-Za-z()-]|\.[0-9])"), "account": re.compile(r"[A-Z0-9](?![A-Za-z0-9])")}
+MOST = {"number": 29, "account": 44}
 KINDS = [k for k, _, _ in BASE] + ["contact", "number", "network", "account"]
 ADDED = KINDS[len(BASE) :]
 
@@ -235,6 +241,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((m.start(), k, m.end()) for k, (_, pattern, holds) in enumerate(BASE) for m in pattern.finditer(text) if holds(m))
 
 
+def free_parts(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int]]:
+    """What is left between the spans, which stand in order."""
+    out, at = [], 0
+    for a, _, b in found:
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, size)] if size > at else out
+
+
+def proposed(text: str, parts: list[tuple[int, int]]) -> set[tuple[str, int, int]]:
+    """(kind, start, end) of all candidates within ``parts``."""
+    out = set()
+    for first, last in parts:
+        for kind, pattern in CANDIDATES:
+            out.update((kind, *m.span()) for m in pattern.finditer(text, first, last))
+            if kind not in STARTS:
+                continue
+            ends = [m.end() for m in ENDS[kind].finditer(text, first, last)]
+            low = 0
+            for m in STARTS[kind].finditer(text, first, last):
+                a = m.start()
+                while low < len(ends) and ends[low] <= a:
+                    low += 1
+                longest = pattern.match(text, a, min(last, a + MOST[kind]))
+                for k in range(low, len(ends)):
+                    b = ends[k]
+                    if longest is None or b > longest.end():
+                        break
+                    if pattern.fullmatch(text, a, b):
+                        out.add((kind, a, b))
+    return out
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def score_of(kind: str, span: str, before: str, trees: Trees) -> float:
+    return trees.predict(features(kind, span, before))
+
+
 def spans_of(text: str, trees: Trees, least: dict[str, float]) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end): base spans and selected candidates, in order."""
     found = base_spans(text)
@@ -242,14 +287,10 @@ def spans_of(text: str, trees: Trees, least: dict[str, float]) -> list[tuple[int
     for a, _, b in found:
         taken[a:b] = b"\x01" * (b - a)
     scored = []
-    for kind, pattern in CANDIDATES:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if 1 in taken[a:b]:
-                continue
-            score = trees.predict(features(kind, m[0], text[max(0, a - 40) : a]))
-            if score >= least[kind]:
-                scored.append((-score, a - b, a, KINDS.index(kind), b))
+    for kind, a, b in proposed(text, free_parts(found, len(text))):
+        score = score_of(kind, text[a:b], text[max(0, a - 40) : a], trees)
+        if score >= least[kind]:
+            scored.append((-score, a - b, a, KINDS.index(kind), b))
     for _, _, a, k, b in sorted(set(scored)):
         if 1 not in taken[a:b]:
             taken[a:b] = b"\x01" * (b - a)
