@@ -208,3 +208,8 @@ def test_wrapped_licenses(spark):
     got = [(r["sentence_ids"], r["licenses"]) for r in license_scan.licenses(documents(spark, texts)).orderBy("doc_id").collect()]
     apache, mit, bsd = ("A1 A2 A3 A4", "Apache-2.0-notice"), ("M2 M3 M4", "MIT-text"), ("B1 B2", "BSD-text")
     assert got == [apache, mit, ("G2 G3", "GPL-3.0-or-later-notice"), bsd, apache, mit, bsd, apache, ("", ""), ("", ""), ("M1", "MIT")]
+
+
+def test_reserved_by_any_space(spark):
+    texts = ["All rights  reserved.", "All rights\treserved.", "All rights reserved.", "All rights\nreserved."]
+    assert [r["sentence_ids"] for r in license_scan.licenses(documents(spark, texts)).collect()] == ["R1"] * 4

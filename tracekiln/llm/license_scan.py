@@ -77,7 +77,7 @@ RULES = (
     ("all-rights-reserved", "R1"),
 )
 #: A text without any of these holds no known sentence, and is not split.
-ANY = r"(?i)licen[sc]e|permission|rights reserved|redistribution|warrant|compliance|copyright|free software"
+ANY = r"(?i)licen[sc]e|permission|reserved|redistribution|warrant|compliance|copyright|free software"
 
 _ENDS = r"([.!?])[\x20\x09-\x0D]+"
 _STOP = "\x01"
