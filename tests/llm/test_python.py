@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -266,39 +267,100 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize(("words", "percent", "least", "rounds"), [(3, 90, 32, 4), (3, 90, 2, 4), (5, 80, 2, 0), (2, 80, 3, 4)])
-def test_components_like_brute_force(spark, monkeypatch, words, percent, least, rounds):
+@pytest.mark.parametrize(("words", "percent", "least", "pairs", "block"), [(3, 90, 8, 4, 2048), (3, 90, 2, 0, 2048), (5, 80, 2, 1, 5), (2, 80, 3, 0, 7), (3, 55, 2, 4, 2048)])
+def test_components_like_brute_force(spark, monkeypatch, words, percent, least, pairs, block):
+    """Also with all tokens of groups frequent, with blocks that are verified as a whole, and with many blocks a bucket."""
     monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", least)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AN_ITEM", pairs)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ITEMS", block)
     texts = near_copies(least)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(documents(spark, texts), words, percent).collect()}
     assert got == brute_components(texts, words, percent)
 
 
-def test_signatures_are_shared_by_all_links():
-    """Any two sets that reach the similarity have a signature in common, whatever is frequent."""
+@pytest.mark.parametrize("percent", [51, 60, 80, 90, 99, 100])
+def test_signatures_are_shared_by_all_links(percent):
+    """Any two sets that reach the similarity have a signature in common, whatever is frequent, from their fronts alone."""
     r = np.random.default_rng(3)
-    tokens = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64))
-    for n in (2, 3, 10, 100, 130, 900, 1100):
-        for share in (0.0, 0.3, 1.0):
+    tokens = np.unique(r.integers(0, 1 << 64, 5000, dtype=np.uint64))
+
+    def made(x, frequent):
+        f = jaccard_join.front(np.sort(x), percent)
+        return jaccard_join.signatures(f, np.isin(f, frequent), len(x), percent)
+
+    for n in (2, 3, 4, 5, 7, 10, 33, 100, 130, 900, 1100):
+        for share in (0.0, 0.3, 0.9, 1.0):
             frequent = np.sort(r.permutation(tokens)[: int(share * len(tokens))])
-            for percent in (80, 90):
-                a = r.permutation(tokens)[:n]
-                lack = n - jaccard_join.shared_least(n, percent)
-                for _ in range(20):
-                    x, y = int(r.integers(0, lack + 1)), int(r.integers(0, lack + 1))
-                    b = np.concatenate([a[x:], r.permutation(np.setdiff1d(tokens, a))[:y]])
-                    both, either = n - x, n + y
-                    if 100 * both >= percent * either and (x or y):
-                        s, t = (jaccard_join.signatures(np.sort(v), np.isin(np.sort(v), frequent), percent) for v in (a, b))
-                        assert len(np.intersect1d(s, t)), (n, share, percent, x, y)
+            a = r.permutation(tokens)[:n]
+            lack = n - jaccard_join.shared_least(n, percent)
+            for _ in range(12):
+                x, y = int(r.integers(0, lack + 1)), int(r.integers(0, n + 1))
+                y = min(y, max(0, 100 * (n - x) // percent - n))  # as many more as the similarity allows
+                b = np.concatenate([a[x:], r.permutation(np.setdiff1d(tokens, a))[:y]])
+                assert len(b) == n - x + y and 100 * (n - x) >= percent * (n + y)
+                if x or y:
+                    assert len(np.intersect1d(made(a, frequent), made(b, frequent))), (n, share, x, y)
+
+
+def test_fronts_suffice_for_any_size():
+    for percent in (51, 55, 67, 80, 90, 95, 100):
+        for n in [*range(2, 300), 1000, 4097, 20_000]:
+            lack = n - jaccard_join.shared_least(n, percent)
+            assert lack + 1 + jaccard_join.parts_met(n, percent)[-1] <= n or n < 2, (percent, n)
+    with pytest.raises(ValueError, match="percent"):
+        jaccard_join.joined(None, 3, 50)
+
+
+def test_sketches_never_differ_more_than_sets():
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (5, 255, 257, 600, 1100)]
+    sets += [np.unique(np.concatenate([s[k:], r.integers(0, 1 << 64, k, dtype=np.uint64)])) for s in sets for k in (1, 3, 20)]
+    n = np.array([len(s) for s in sets])
+    for percent in (60, 80, 90):
+        compared = jaccard_join.Compared(n, pa.array([jaccard_join.sketch(s) for s in sets], pa.binary()), percent)
+        i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+        may = compared.possible(i, j)
+        for a, b, m in zip(i.tolist(), j.tolist(), may.tolist(), strict=True):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert m or 100 * both < percent * (n[a] + n[b] - both)
+        assert not may.all()
+
+
+def test_groups_across_batches():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(10))], names=["k", "v"])
+    for size in (1, 2, 3, 10):
+        got = list(jaccard_join.whole_groups((rows.slice(i, size) for i in range(0, 10, size)), ["k"]))
+        assert [x for b in got for x in b.column("v").to_pylist()] == list(range(10))
+        assert sum(len(set(b.column("k").to_pylist())) for b in got) == 4
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_join_tells_words_apart(spark):
+    """Words whose polynomial hashes are equal, very long ones, and words that share their first eight bytes."""
+    s, t = thue_morse(2048)
+    texts = ["x y " + s, "x y " + t, "x y abcdefgh1", "x y abcdefgh2", "x y " + "a" * 300_000, "x y " + "a" * 300_001, "X y " + s]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar(documents(spark, texts), 3, 90).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
 
 
 def test_join_edges(spark):
     assert jaccard_join.similar(documents(spark, []).limit(0)).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (7, "A  b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_join.similar(rows).collect()) == [(0, 1), (1, 1), (1, 1), (7, 1)]
-    assert sorted(r["doc_id"] or 0 for r in jaccard_join.thinned(rows).collect()) == [0, 1, 1]
+    assert [r["doc_id"] for r in jaccard_join.thinned(rows).collect()] == [1]
+    # One identifier for two texts, and near copies without any: each text links for itself.
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(5, a), (5, b), (8, a + " z"), (9, b + " z"), (None, "q " * 3 + a + " y"), (None, "no copy of this text here")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.similar(rows, 3, 80).collect()) == [(0, 0), (0, 5), (5, 5), (5, 5), (8, 5), (9, 5)]
+    kept = jaccard_join.thinned(rows, 3, 80).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "n"), (5, "a"), (5, "b")]
 
 
 def test_pipeline(spark):
@@ -323,14 +385,11 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows.select("doc_id").distinct().collect()} == kept
 
 
-def test_frequent_bits(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 3)
+def test_bit_table(spark):
     r = np.random.default_rng(5)
     tokens = r.integers(0, 1 << 64, 40, dtype=np.uint64)
-    rows = [(i, [int(t) for t, k in zip(tokens.view(np.int64), range(40), strict=True) if k % 4 > i]) for i in range(4)]
-    df = spark.createDataFrame(rows, "doc_id long, prefix array<long>")
-    got = jaccard_join.held(tokens, jaccard_join.frequent_bits(df))
-    assert got.tolist() == [k % 4 >= 3 for k in range(40)]
+    df = spark.createDataFrame([(int(t),) for t in tokens.view(np.int64)[:25]], "token long")
+    assert jaccard_join.held(tokens, jaccard_join.bit_table(df)).tolist() == [k < 25 for k in range(40)]
 
 
 def test_rare_language_keeps_all_its_words(spark, monkeypatch):
