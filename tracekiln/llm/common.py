@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,15 +52,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def freed(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for frames that nothing reads any more.
-
-    Frames that are no longer referred to then go on both sides, and Spark removes
-    the shuffle files of their jobs, which it else does when its driver is short of memory.
-    """
+    """Deletes what ``stored`` wrote for frames that nothing reads any more."""
     for df in frames:
         dropped_folder(spark, df._tracekiln_path)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def dropped_folder(spark: SparkSession, path: str) -> None:
