@@ -284,9 +284,9 @@ def test_signatures_are_shared_by_all_links(percent):
     r = np.random.default_rng(3)
     tokens = np.unique(r.integers(0, 1 << 64, 5000, dtype=np.uint64))
 
-    def made(x, frequent):
+    def made(x, both, frequent):
         f = jaccard_join.front(np.sort(x), percent)
-        return jaccard_join.signatures(f, np.isin(f, frequent), len(x), percent)
+        return jaccard_join.signatures(f, np.isin(f, both), np.isin(f, frequent), len(x), percent)
 
     for n in (2, 3, 4, 5, 7, 10, 33, 100, 130, 900, 1100):
         for share in (0.0, 0.3, 0.9, 1.0):
@@ -299,7 +299,8 @@ def test_signatures_are_shared_by_all_links(percent):
                 b = np.concatenate([a[x:], r.permutation(np.setdiff1d(tokens, a))[:y]])
                 assert len(b) == n - x + y and 100 * (n - x) >= percent * (n + y)
                 if x or y:
-                    assert len(np.intersect1d(made(a, frequent), made(b, frequent))), (n, share, x, y)
+                    both = np.intersect1d(a, b)
+                    assert len(np.intersect1d(made(a, both, frequent), made(b, both, frequent))), (n, share, x, y)
 
 
 def test_fronts_suffice_for_any_size():

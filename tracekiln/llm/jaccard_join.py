@@ -2,19 +2,21 @@ r"""Operator 5: n-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles, as 64-bit tokens under a key
 drawn for each call, so that no text can be written whose words collide. Tokens
-have one global order: first those of a zone of small values, rare ones before
-frequent ones, then all others, each by value. Two sets can only reach the
-similarity if they share enough tokens at the front of that order, so a prefix is
-indexed: a rare token by itself, frequent tokens in combinations of two out of the
-same part of the frequent class. The prefix is extended until whatever tokens a
-partner may lack, one rare token or one combination is left in common: over parts,
-the sum of (tokens - 1), plus the rare tokens, exceeds the number that may be
-missing.
-
-Frequent is a token that stands in the fronts of ``LEAST_FREQUENT`` sets, or shares
-its bit with one in a table of ``BITS`` bits. The classes may be any function of the
-token, so bits that are shared cost time only, and what is sent to the tasks has one
-size for any corpus. Exact copies of a set are one item.
+have one global order: first those of a zone of small values, unique ones before
+rare ones before frequent ones, then all others, each by value. Two sets can only
+reach the similarity if they share enough tokens at the front of that order, so a
+prefix is indexed: a rare token by itself, frequent tokens in combinations of two out
+of the same part of the frequent class, and nothing for a unique one, which no other
+set has. The prefix is extended until whatever tokens a partner may lack, one rare
+token or one combination is left in common: over parts, the sum of (tokens - 1), plus
+the unique and rare tokens, exceeds the number that may be missing.
+
+Tokens are counted in fronts, which hold the whole zone of their sets. Frequent is a
+token of ``LEAST_FREQUENT`` sets and unique one of a single set, unless it shares its
+bit with another in a table of ``BITS`` bits. Frequent and rare may be told apart by
+any function of the token and a token that is taken for rare is only indexed in vain,
+so bits that are shared cost time only, and what is sent to the tasks has one size for
+any corpus. Exact copies of a set are one item.
 
 Signatures that the same items have are one bucket, named after one of them. A
 bucket is cut into blocks of a bounded number of items and tokens, and all pairs of
@@ -170,16 +172,20 @@ def front(tokens: np.ndarray, percent: int) -> np.ndarray:
     return tokens[: max(enough, int(np.searchsorted(tokens, zone(percent))))]
 
 
-def signatures(tokens: np.ndarray, often: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """The signatures of a set of n with this front, whose tokens are frequent or not."""
+def signatures(tokens: np.ndarray, again: np.ndarray, often: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The signatures of a set of n with this front, whose tokens other sets have or not, and are frequent or not."""
     if n < 2:  # a partner of a single token is an exact copy
         return tokens[:0]
     lack = n - shared_least(n, percent)
     inside = int(np.searchsorted(tokens, zone(percent)))
-    rare, common, beyond = tokens[:inside][~often[:inside]], tokens[:inside][often[:inside]], tokens[inside:]
-    if len(rare) > lack:
-        return rare[: lack + 1]
-    need, short = lack + 1 - len(rare), 0
+    again, often = again[:inside], often[:inside]
+    need = lack + 1 - int((~again).sum())
+    if need <= 0:
+        return tokens[:0]
+    rare, common, beyond = tokens[:inside][again & ~often], tokens[:inside][again & often], tokens[inside:]
+    if len(rare) >= need:
+        return rare[:need]
+    need, short = need - len(rare), 0
     out = [rare]
     for m in parts_met(n, percent):
         part = ((common >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
@@ -262,14 +268,14 @@ def shapes(docs: DataFrame, words: int, percent: int, key: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, front array<long>, sketch binary")
 
 
-def signed(items: DataFrame, percent: int, frequent, only=None) -> DataFrame:
-    """item, signature; ``only`` is a broadcast table of bits of the signatures wanted."""
+def signed(items: DataFrame, percent: int, shared, frequent, only=None) -> DataFrame:
+    """item, signature; ``only`` is a broadcast table of bits of the signatures wanted, the others are of tokens."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             own, found = [], []
             for item, n, tokens in zip(batch.column("item").to_pylist(), batch.column("n").to_pylist(), _arrays(batch.column("front")), strict=True):
-                x = signatures(tokens, held(tokens, frequent.value), n, percent)
+                x = signatures(tokens, held(tokens, shared.value), held(tokens, frequent.value), n, percent)
                 if only is not None:
                     x = x[held(x, only.value)]
                 own.append(np.full(len(x), item, dtype=np.int64))
@@ -516,17 +522,18 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("front").alias("front"), F.any_value("sketch").alias("sketch")
     )
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "set_a", "set_b", "n", "first", "front", "sketch"), "join-items")
-    counts = items.select(F.explode("front").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = spark.sparkContext.broadcast(bit_table(counts.where(F.col("n") >= LEAST_FREQUENT).select("token")))
+    counts = items.select(F.explode("front").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stored(counts, "join-counts")
+    sent = [spark.sparkContext.broadcast(bit_table(counts.where(F.col("n") >= k).select("token"))) for k in (2, LEAST_FREQUENT)]
 
     # Of signatures that the same items have, one is kept.
-    shared = signed(items, percent, frequent).groupBy("signature").agg(F.count(F.lit(1)).alias("g"), F.min("item").alias("least"), F.bit_xor(F.xxhash64("item")).alias("who")).where("g > 1")
-    buckets = stored(shared.groupBy("g", "least", "who").agg(F.min("signature").alias("signature")).select("signature"), "join-buckets")
-    wanted = spark.sparkContext.broadcast(bit_table(buckets))
-    posted = signed(items, percent, frequent, wanted).join(buckets, "signature")
-    posted = stored(posted.join(items.select("item", "n", "sketch"), "item"), "join-posted")
+    met = signed(items, percent, *sent).groupBy("signature").agg(F.count(F.lit(1)).alias("g"), F.min("item").alias("least"), F.bit_xor(F.xxhash64("item")).alias("who")).where("g > 1")
+    buckets = stored(met.groupBy("g", "least", "who").agg(F.min("signature").alias("signature")).select("signature"), "join-buckets")
+    posted = signed(items, percent, *sent, spark.sparkContext.broadcast(bit_table(buckets))).join(buckets, "signature")
+    posted = stored(posted.join(items.select("item", "n"), "item"), "join-posted")
     blocks = posted.groupBy("signature").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = posted.join(blocks, "signature").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    placed = stored(placed.join(items.select("item", "sketch"), "item"), "join-placed")
 
     chosen = items.select("item", "first.doc_id", "first.text_key")
 
@@ -554,7 +561,7 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .select("set_a", "set_b", "item", F.coalesce("component", "item").alias("component"), F.coalesce("least", "first").alias("first")),
         "join-sets",
     )
-    freed(spark, items, buckets, posted, led, near, *links)
+    freed(spark, items, counts, buckets, posted, placed, led, near, *links)
     with_set = some.join(of_set, ["set_a", "set_b"]).select("doc_id", "text_key", "n_shingles", "item", "component", "first")
     empty = formed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", *[F.lit(None).cast(of_set.schema[c].dataType).alias(c) for c in ("item", "component", "first")])
     return with_set.unionByName(empty)
