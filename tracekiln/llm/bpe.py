@@ -5,8 +5,10 @@ into an array of classes, every class is a function on the states of a small
 automaton, and an associative scan over those functions (composition is a table
 look-up) gives the state before each codepoint, from which the boundaries
 follow. No regular expression runs. Slices are hashed from prefix sums and looked
-up in an array cache; only slices that are not there go through pair merging.
-Offsets of slices and tokens are kept, and decoding goes through them.
+up in an array cache, which has every slice itself: a slice takes an entry's tokens
+only if it is equal to it, codepoint by codepoint. Slices that are not there go
+through pair merging. Offsets of slices and tokens are kept, and decoding goes
+through them.
 
 The automaton stands for the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+``.
@@ -220,6 +222,15 @@ def ragged(source: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return source[np.repeat(begin - to, sizes) + np.arange(total)]
 
 
+def equal_slices(x: np.ndarray, begin: np.ndarray, y: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which slices x[begin : begin + sizes] equal y[start : start + sizes]."""
+    to = np.cumsum(sizes) - sizes
+    differ = np.flatnonzero(ragged(x, begin, sizes) != ragged(y, start, sizes))
+    out = np.ones(len(sizes), dtype=bool)
+    out[np.searchsorted(to, differ, side="right") - 1] = False
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with its cache; one for each worker process."""
 
@@ -251,39 +262,67 @@ class Codec:
         self.begin = np.zeros(1 << 16, dtype=np.int32)
         self.size = np.zeros(1 << 16, dtype=np.int32)
         self.tokens = np.zeros(1 << 18, dtype=np.int32)
-        self.entries = self.used = 0
-
-    def _room(self, entries: int, tokens: int) -> None:
-        for name, need in (("begin", self.entries + entries), ("size", self.entries + entries), ("tokens", self.used + tokens)):
+        # The slices of the entries, as codepoints.
+        self.said_at = np.zeros(1 << 16, dtype=np.int64)
+        self.said_size = np.zeros(1 << 16, dtype=np.int64)
+        self.said = np.zeros(1 << 18, dtype=np.uint32)
+        self.entries = self.used = self.spoken = 0
+
+    def _room(self, entries: int, tokens: int, points: int) -> None:
+        of_entries = self.entries + entries
+        for name, need in (("begin", of_entries), ("size", of_entries), ("said_at", of_entries), ("said_size", of_entries), ("tokens", self.used + tokens), ("said", self.spoken + points)):
             have = getattr(self, name)
             if len(have) < need:
                 setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), dtype=have.dtype)]))
 
-    def _entries(self, text: str, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _added(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new entries for these slices, which are merged."""
+        merge = self.merge
+        new = [merge(text[a:b].encode()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        flat = np.fromiter((t for x in new for t in x), dtype=np.int32, count=int(sizes.sum()))
+        said = end - begin
+        self._room(len(new), len(flat), int(said.sum()))
+        ids = np.arange(self.entries, self.entries + len(new))
+        self.begin[ids] = self.used + np.cumsum(sizes) - sizes
+        self.size[ids] = sizes
+        self.tokens[self.used : self.used + len(flat)] = flat
+        self.said_at[ids] = self.spoken + np.cumsum(said) - said
+        self.said_size[ids] = said
+        self.said[self.spoken : self.spoken + int(said.sum())] = ragged(points, begin, said)
+        self.entries += len(new)
+        self.used += len(flat)
+        self.spoken += int(said.sum())
+        return ids
+
+    def _is(self, entry: np.ndarray, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which slices are equal to those of the entries."""
+        out = self.said_size[entry] == end - begin
+        at = np.flatnonzero(out)
+        out[at] = equal_slices(points, begin[at], self.said, self.said_at[entry[at]], (end - begin)[at])
+        return out
+
+    def _entries(self, text: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The cache's entry of each slice; slices that it lacks are merged and added."""
-        if self.used > 4 * self.MOST or self.entries > self.MOST:
+        if self.used > 4 * self.MOST or self.entries > self.MOST or self.spoken > 8 * self.MOST:
             self.clear()
+        hashes = slice_hashes(points, begin, end)
         slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         entry = np.where(self.keys[slot] == hashes, self.entry[slot], -1)
+        hit = np.flatnonzero(entry >= 0)
+        entry[hit[~self._is(entry[hit], points, begin[hit], end[hit])]] = -1
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             fresh, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            where = missing[at]
-            merge = self.merge
-            new = [merge(text[a:b].encode()) for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
-            sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            flat = np.fromiter((t for x in new for t in x), dtype=np.int32, count=int(sizes.sum()))
-            self._room(len(new), len(flat))
-            ids = np.arange(self.entries, self.entries + len(new))
-            self.begin[ids] = self.used + np.cumsum(sizes) - sizes
-            self.size[ids] = sizes
-            self.tokens[self.used : self.used + len(flat)] = flat
-            self.entries += len(new)
-            self.used += len(flat)
+            ids = self._added(text, points, begin[missing[at]], end[missing[at]])
             slot = (fresh & np.uint64(self.SLOTS - 1)).astype(np.int64)
             self.keys[slot] = fresh
             self.entry[slot] = ids
             entry[missing] = ids[back]
+            # Other slices under the hash of one that was just added are entries that no slot leads to.
+            other = missing[~self._is(entry[missing], points, begin[missing], end[missing])]
+            if len(other):
+                entry[other] = self._added(text, points, begin[other], end[other])
         return entry
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +337,7 @@ class Codec:
         starts = np.cumsum(lengths) - lengths
         begin = boundaries(points, starts[lengths > 0])
         end = np.append(begin[1:], len(points))
-        entry = self._entries(joined, slice_hashes(points, begin, end), begin, end)
+        entry = self._entries(joined, points, begin, end)
         sizes = self.size[entry].astype(np.int64)
         ids = ragged(self.tokens, self.begin[entry], sizes)
         upto = np.concatenate([[0], np.cumsum(sizes)])

@@ -47,6 +47,8 @@ BACK_OFF = 0.4
 UNIT = 1 << 32
 #: Entries that a task counts before it sends them on, and unseen words that a worker holds.
 HELD = 600_000
+#: Digests of rejected texts that may be sent to every task.
+SENT = 1 << 20
 #: The pipeline keeps documents with at least this score.
 LEAST_SCORE = 0.5
 
@@ -109,7 +111,9 @@ def gram_counts(words: DataFrame) -> DataFrame:
                 yield flushed()
         yield flushed()
 
-    counted = words.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Counted words are few bytes for much work: they are dealt out over all tasks.
+    dealt = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = dealt.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return counted.select("lang", F.length("gram").alias("size"), "gram", "n")
 
 
@@ -218,14 +222,25 @@ class Model:
 
     def held_sums(self, texts: list[str | None]) -> list[tuple[list[int], int, dict[str, int]]]:
         """For each text: the sum of its held words' rows, its number of words, and its other words with their counts."""
-        out = []
+        index, at, times, begin, n, others = self.index, [], [], [], [], []
         for text in texts:
             counts = Counter(words_of(text or ""))
-            other = {w: k for w, k in counts.items() if w not in self.index}
-            at = [self.index[w] for w in counts if w not in other]
-            times = np.array([k for w, k in counts.items() if w not in other], dtype=np.int64)
-            out.append(((self.rows[at] * times[:, None]).sum(axis=0).tolist(), sum(counts.values()), other))
-        return out
+            other = {}
+            begin.append(len(at))
+            for w, k in counts.items():
+                i = index.get(w)
+                if i is None:
+                    other[w] = k
+                else:
+                    at.append(i)
+                    times.append(k)
+            n.append(sum(counts.values()))
+            others.append(other)
+        # Sums up to each text's end, whose differences are exact in whole numbers.
+        upto = np.zeros((len(at) + 1, len(self.langs)), dtype=np.int64)
+        np.cumsum(self.rows[at] * np.array(times, dtype=np.int64)[:, None], axis=0, out=upto[1:])
+        sums = upto[[*begin[1:], len(at)]] - upto[begin]
+        return list(zip(sums.tolist(), n, others, strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text, for a model that is held whole."""
@@ -400,8 +415,10 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
         # The digest stands for the text, so that rows need no order and copies have one answer.
         digest = F.sha2(F.col("text").cast("binary"), 256)
         said = _joined(docs.select(digest.alias("digest"), "text"), model)
-        kept = said.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("digest").distinct()
-        return docs.join(kept, digest == kept["digest"], "left_semi")
+        kept = F.coalesce((F.col("lang_pred") != "und") & (F.col("score") >= least) & F.col("digest").isNotNull(), F.lit(False))
+        goes = stored(said.where(~kept).select(F.coalesce("digest", F.lit("")).alias("goes")).distinct(), "language-goes")
+        few = goes.count() <= SENT
+        return docs.join(F.broadcast(goes) if few else goes, F.coalesce(digest, F.lit("")) == goes["goes"], "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ it; stepping back through the bitsets gives how often each length is used, and
 the pattern found is used as often as the counts allow. Where the sequence cannot
 be filled, a sum that is a power of two is preferred, since it needs no padding.
 Work is done in windows of many pieces; what a window could not place exactly is
-carried to the next, and only a task's last window pads. There is no shuffle.
+carried to the next, until more than ``CARRIED`` windows' worth of pieces wait: then
+the longest ones get the patterns that come closest. There is no shuffle.
 
 Defined cases: a null or empty text is the one closing id. A document of any
 length is cut into full sequences and a rest. Repeated rows are packed each for
@@ -33,6 +34,8 @@ from tracekiln.llm.common import batches
 CAPACITY = 2048
 CLOSING = 1
 WINDOW = 16_384
+#: Windows' worth of pieces that may wait for lengths that fill their sequences.
+CARRIED = 4
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,8 +102,8 @@ def patterns(counts: Counter, capacity: int, last: bool) -> Iterator[tuple[list[
 class Packer:
     """Sequences of one task."""
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id = capacity, first_id
+    def __init__(self, capacity: int, first_id: int, most_waiting: int = CARRIED * WINDOW):
+        self.capacity, self.next_id, self.most_waiting = capacity, first_id, most_waiting
         self.open: dict[int, deque] = {}
         self.waiting = 0
         self.out: list[tuple] = []
@@ -117,7 +120,7 @@ class Packer:
                 self.open.setdefault(size, deque()).append(piece)
                 self.waiting += 1
 
-    def close(self, last: bool) -> None:
+    def _place(self, last: bool, least_waiting: int = 0) -> None:
         for lengths, times in patterns(Counter({k: len(v) for k, v in self.open.items()}), self.capacity, last):
             for _ in range(times):
                 offset = 0
@@ -126,6 +129,14 @@ class Packer:
                     offset += size
                 self.waiting -= len(lengths)
                 self.next_id += 1
+                if self.waiting <= least_waiting:
+                    return
+
+    def close(self, last: bool) -> None:
+        """Full sequences of what waits; if it is the last window or too much is left, others as well."""
+        self._place(last)
+        if self.waiting > self.most_waiting:
+            self._place(True, self.most_waiting // 2)
 
     def rows(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) or [()] * 7
@@ -139,7 +150,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, window: int = W
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        packer = Packer(capacity, TaskContext.get().partitionId() << 36)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 36, CARRIED * window)
         limit = window
         for batch in batches(source):
             ids, offsets = own.encode_special(texts_of(batch))

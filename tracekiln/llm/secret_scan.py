@@ -53,7 +53,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("bearer", r"(?ai:authorization):\x20*(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
     Rule("private_key", r"-----BEGIN[A-Z\x20]*PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]+@"),
 )
 RULES = BASE + MORE
 
@@ -147,8 +147,7 @@ class Index:
 
     def __init__(self, queries: list):
         self.grams = sorted({t for q in queries if q is not None for t in named(q)})
-        assert len(self.grams) < 256
-        self.table = np.zeros(1 << 24, dtype=np.uint8)
+        self.table = np.zeros(1 << 24, dtype=np.uint16 if len(self.grams) < 1 << 16 else np.uint32)
         for k, t in enumerate(self.grams):
             self.table[t[0] << 16 | t[1] << 8 | t[2]] = k + 1
 
