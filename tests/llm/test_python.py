@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,10 +166,24 @@ def test_secrets(spark):
     assert [r["text"] for r in clean] == ['a <assign>" b', None] and clean[0]["spans"] == "s"
 
 
+def checks_out(digits):
+    """The sum of the digits, every second one from the right doubled and its digits added, ends in 0."""
+    return sum(sum(map(int, str(int(c) * (2 if k % 2 else 1)))) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+CONTRACT = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in s.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= sum(c.isdigit() for c in s) <= 19 and checks_out(re.sub("[^0-9]", "", s))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= sum(c.isdigit() for c in s) <= 15),
+)
+
+
 def base_pii(text):
+    """Base spans from the contract's own expressions."""
     out = []
-    for k, (_, pattern, holds) in enumerate(pii.BASE):
-        out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if holds(m)]
+    for k, (_, pattern, holds) in enumerate(CONTRACT):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if holds(m[0])]
     return sorted(out)
 
 
@@ -182,6 +197,8 @@ PII = [
     "order 0007687199101951 on 2024-05-12, version 10.4.2",
     "7 " * 20_000,
     "mail me@x.org " * 2000,
+    "0" * 5000 + ".1.1.1 " + "9" * 3000 + ".1.2.3",
+    "a@b@c.d@e.f g@@h.i x.@y.z..k@l-.m- 1.2.3.4.5.6.7.8 1.2.3.4@5.6",
 ]
 
 
@@ -199,11 +216,65 @@ def test_personal_data(spark):
     assert [r["text"] for r in clean] == ["call <number> or <contact>", None]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.1-+ (%25", max_size=40))
+def test_base_spans_like_the_expressions(text):
+    assert pii.base_spans(text) == base_pii(text)
+
+
+def test_long_runs_take_linear_time():
+    trees, least = pii.trained()
+    for text in ("9" * 400_000, "a" * 400_000, "a1." * 150_000, "a" * 200_000 + "@", "1" * 200_000 + ".1", "ab:" * 100_000, "A1" * 200_000, "[at] " * 50_000):
+        began = time.perf_counter()
+        pii.spans_of(text, trees, least)
+        assert time.perf_counter() - began < 20, text[:5]
+
+
+#: By hand: text, and the personal part beyond base spans.
+BY_HAND = (
+    ("please pay to IBAN GB29NWBK60161331926819 soon", "GB29NWBK60161331926819"),
+    ("pay to DE89 3704 0044 0532 0130 00 today", "DE89 3704 0044 0532 0130 00"),
+    ("tel 030 1234567", "030 1234567"),
+    ("phone: 07911 123456", "07911 123456"),
+    ("passport 123456789", "123456789"),
+    ("write jane at example dot com", "jane at example dot com"),
+    ("write jane.doe [at] example [dot] org", "jane.doe [at] example [dot] org"),
+    ("host fe80::1 is up", "fe80::1"),
+    ("mac address aa-bb-cc-dd-ee-ff", "aa-bb-cc-dd-ee-ff"),
+    ("mac 00:1b:44:11:3a:b7 seen", "00:1b:44:11:3a:b7"),
+    ("call 555-123-4567 now", "555-123-4567"),
+    ("call (555) 123-4567 now", "(555) 123-4567"),
+    ("ssn 078-05-1120", "078-05-1120"),
+    ("fax 0221/4710000", "0221/4710000"),
+)
+CLEAN = (
+    "on 2024-05-12 we released version 10.4.2",
+    "order 12345678901234 of 17 items",
+    "years 1998-2004, pages 12-17",
+    "ISBN 978-3-16-148410-0",
+    "at 12:30:45 the ratio was 16:9",
+    "look at example.com and a::b",
+    "population 12.345.678",
+    "section 3.2.1 table 4",
+)
+
+
+def test_personal_data_by_hand():
+    trees, least = pii.trained()
+    hits = [want in [text[a:b] for a, _, b in pii.spans_of(text, trees, least)] for text, want in BY_HAND]
+    assert sum(hits) >= 0.9 * len(hits), [x for x, h in zip(BY_HAND, hits, strict=True) if not h]
+    wrong = {t: [t[a:b] for a, _, b in x] for t in CLEAN if (x := pii.spans_of(t, trees, least))}
+    assert len(wrong) <= 1, wrong
+
+
 def test_trees_on_held_out_examples():
+    """Thresholds are calibrated on other formats than the trees saw, and hold on new draws of them."""
     trees, least = pii.trained()
-    held = pii.examples(2000, 9)
-    chosen = [p for k, s, b, p in held if trees.predict(pii.features(k, s, b)) >= least[k]]
-    assert sum(chosen) >= 0.95 * len(chosen) and sum(chosen) >= 0.9 * sum(p for *_, p in held)
+    held = pii.examples(2000, 9, held=True)
+    scores = trees.predict(np.array([pii.features(k, s, b) for k, s, b, _ in held]))
+    chosen = [p for (k, _, _, p), v in zip(held, scores, strict=True) if v >= least[k]]
+    assert sum(chosen) >= 0.93 * len(chosen) and sum(chosen) >= 0.8 * sum(p for *_, p in held)
+    assert len({round(x, 3) for x in least.values()}) > 1
 
 
 def test_language(spark):

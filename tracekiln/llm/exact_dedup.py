@@ -61,29 +61,25 @@ def keyed_state(spark: SparkSession, log_path: str, log: DataFrame, state_path:
     ``state_path`` may be kept and given again with more log files: groups then go on
     from where they were, since the state never expires.
     """
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        state = (
-            spark.readStream.schema(log.schema)
-            .parquet(log_path)
-            .groupBy("digest")
-            .agg(
-                # ~x falls as x rises and never overflows: the largest struct has the smallest identifier.
-                F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_doc"), F.bitwise_not("row_id").alias("not_row"), "locator")).alias("best"),
-                F.count(F.lit(1)).alias("group_size"),
-            )
+    own = spark.newSession()  # so that other queries of the session do not see these settings
+    for k, v in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), **STATE}.items():
+        own.conf.set(k, v)
+    state = (
+        own.readStream.schema(log.schema)
+        .parquet(log_path)
+        .groupBy("digest")
+        .agg(
+            # ~x falls as x rises and never overflows: the largest struct has the smallest identifier.
+            F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_doc"), F.bitwise_not("row_id").alias("not_row"), "locator")).alias("best"),
+            F.count(F.lit(1)).alias("group_size"),
         )
+    )
 
-        def save(part: DataFrame, batch: int) -> None:
-            part.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out_path}/part={batch}")
+    def save(part: DataFrame, batch: int) -> None:
+        part.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out_path}/part={batch}")
 
-        stream = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state_path).trigger(availableNow=True).start()
-        stream.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stream = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state_path).trigger(availableNow=True).start()
+    stream.awaitTermination()
     kind = "digest string, best struct<n_points: bigint, not_doc: bigint, not_row: bigint, locator: string>, group_size bigint, batch bigint, part int"
     newest = spark.read.schema(kind).parquet(out_path).groupBy("digest").agg(F.max(F.struct("batch", "best", "group_size")).alias("last"))
     return newest.select(
@@ -163,8 +159,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     key = sha256(normalised(docs["text"]))
 
     def of(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (key == rows["__digest"]), how)
+        rows = rows.select(F.col("doc_id").alias("tracekiln_id"), F.col("text_sha256").alias("tracekiln_digest"))
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["tracekiln_id"]) & (key == rows["tracekiln_digest"]), how)
 
     counts = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept")
     counts = stored(counts, "dedup-stays")
@@ -172,5 +168,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     once = of(counts.where("n = 1"), "left_semi")
     if not counts.where("n > 1").take(1):
         return once
-    again = of(counts.where("n > 1"), "left_semi").withColumn("__digest", sha256(normalised("text")))
-    return once.unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+    again = of(counts.where("n > 1"), "left_semi").withColumn("tracekiln_digest", sha256(normalised("text")))
+    return once.unionByName(again.dropDuplicates(["doc_id", "tracekiln_digest"]).drop("tracekiln_digest"))

@@ -564,7 +564,9 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     freed(spark, items, counts, buckets, posted, placed, led, near, *links)
     with_set = some.join(of_set, ["set_a", "set_b"]).select("doc_id", "text_key", "n_shingles", "item", "component", "first")
     empty = formed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", *[F.lit(None).cast(of_set.schema[c].dataType).alias(c) for c in ("item", "component", "first")])
-    return with_set.unionByName(empty)
+    rows = with_set.unionByName(empty)
+    rows._tracekiln_sources = [formed, of_set]
+    return rows
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -578,18 +580,19 @@ def thinned(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without shingles stay. Of rows repeated whole, one stays.
     """
-    rows = joined(docs, words, percent).where("n_shingles > 0")
+    rows = joined(docs, words, percent)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    each = stored(rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.bool_or(key != F.col("first")).alias("goes")), "join-goes")
+    each = stored(rows.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.bool_or(key != F.col("first")).alias("goes")), "join-goes")
+    freed(docs.sparkSession, *rows._tracekiln_sources)
 
     def of(names: DataFrame, how: str) -> DataFrame:
         few = names.count() <= SENT
-        names = names.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"))
-        return docs.join(F.broadcast(names) if few else names, docs["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__key")), how)
+        names = names.select(F.col("doc_id").alias("tracekiln_of"), F.col("text_key").alias("tracekiln_key"))
+        return docs.join(F.broadcast(names) if few else names, docs["doc_id"].cast("long").eqNullSafe(F.col("tracekiln_of")) & (F.xxhash64(docs["text"]) == F.col("tracekiln_key")), how)
 
     again = each.where("n > 1 and not goes")
     if not again.take(1):
         return of(each.where("goes"), "left_anti")
     once = of(each.where("goes or n > 1"), "left_anti")
-    twice = of(again, "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    twice = of(again, "left_semi").withColumn("tracekiln_key", F.xxhash64("text")).dropDuplicates(["doc_id", "tracekiln_key"]).drop("tracekiln_key")
     return once.unionByName(twice)
