@@ -3,6 +3,11 @@
 Each stage takes what the one before it kept and returns the columns of
 ``documents``; the last returns packed pieces. The rows of the result depend on a
 trained model, so there is no SQL for them.
+
+Defined cases: documents with a null, empty or letterless text go in the first stage.
+Rows without ``doc_id`` are judged like others; of equal and near copies they are the
+last that stay. Rows repeated whole stay once. Other columns are carried to the last
+stage, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracekiln.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from tracekiln.llm.common import stored, table
+from tracekiln.llm.common import freed, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            freed(spark, before)
+        before = docs
     return docs
