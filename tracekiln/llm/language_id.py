@@ -46,7 +46,7 @@ FLOOR = -16.0
 BACK_OFF = 0.4
 UNIT = 1 << 32
 #: Entries that a task counts before it sends them on, and unseen words that a worker holds.
-HELD = 600_000
+HELD = 300_000
 #: Digests of rejected texts that may be sent to every task.
 SENT = 1 << 20
 #: The pipeline keeps documents with at least this score.
@@ -80,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
             counts.clear()
 
-        for batch in batches(source, most_bytes=2_000_000):
+        for batch in batches(source, most_bytes=1_000_000):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > HELD:
@@ -352,7 +352,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
 
     def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held_model(*sent.value)
-        for batch in batches(source, most_bytes=2_000_000):
+        for batch in batches(source, most_bytes=1_000_000):
             sums, n, rare = zip(*own.held_sums(batch.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -399,7 +399,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held_model(*sent.value)
-        for batch in batches(source, most_bytes=2_000_000):
+        for batch in batches(source, most_bytes=1_000_000):
             out = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
@@ -423,7 +423,7 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held_model(*sent.value)
-        for batch in batches(source, most_bytes=2_000_000):
+        for batch in batches(source, most_bytes=1_000_000):
             out = own.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in out], pa.bool_()))
 
