@@ -126,6 +126,61 @@ def test_prompts_and_generation(spark):
         HuggingFaceBackend("none").open()
 
 
+def test_row_that_the_backend_fails_on_stays(spark):
+    class Picky:
+        """A backend that raises for requests with a certain word, and so for every batch that has one."""
+
+        def open(self):
+            ask = StubBackend().open()
+
+            def run(requests):
+                if any("odd" in r[0].rsplit("Question: ", 1)[-1] for r in requests):
+                    raise ValueError("odd")
+                return ask(requests)
+
+            return run
+
+    rows = spark.createDataFrame([(0, "Add 2 and 3.", "#### 5"), (1, "An odd 2 and 3.", "#### 5")], "original_index long, question string, raw_answer string").coalesce(1)
+    outcome = retry.retried(rows, "bad", Picky())
+    assert {r["original_index"]: r["new"]["trace"] is not None for r in outcome.collect()} == {0: True, 1: False}
+    assert [r["original_index"] for r in retry.left_over(outcome).where("original_index = 1").collect()] == [1]
+    with pytest.raises(Exception, match="odd"):
+        generated(prompted(retry.categorized(retry.preprocessed(rows, answer="raw_answer")), 0), Picky()).collect()
+
+
+def test_nearest_examples_in_prompts(spark):
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tracekiln.functions.vectors import word_vector
+    from tracekiln.plans.generation import near_examples
+
+    texts = ["red pens and blue pens", "a pump fills tanks", "blue pens in a box", "", "tanks and a pump", "red red box"]
+    kinds = ["x", "y", "x", "y", "y", "x"]
+
+    def vector(t):
+        c = Counter(zlib.crc32(w.encode()) % 64 for w in re.findall("[a-z0-9]+", t))
+        n = max(1.0, math.sqrt(sum(v * v for v in c.values())))
+        return {k: v / n for k, v in c.items()}
+
+    pool = spark.createDataFrame([(i, t, k, f"trace {i}") for i, (t, k) in enumerate(zip(texts, kinds, strict=True))], "seq long, question string, category_type string, trace string")
+    pool = pool.withColumn("embedding", word_vector(F.col("question")))
+    asked = pool.withColumn("original_index", F.col("seq") + 10).withColumn("complexity", F.lit("simple"))
+    near = near_examples(asked, pool, 3)
+    made = {r["original_index"] - 10: r["near"] for r in near.collect()}
+    for i, t in enumerate(texts):
+        a = vector(t)
+        score = {j: min(1.0, s + 0.15) if kinds[i] == kinds[j] else s for j, o in enumerate(texts) for s in [sum(v * vector(o).get(k, 0) for k, v in a.items())]}
+        best = sorted(score, key=lambda j: (-round(score[j], 12), j))[:3]
+        assert [round(score[int(e["trace"][6:])], 9) for e in made[i]] == [round(score[j], 9) for j in best]
+    prompts = {r["original_index"]: r["prompt"] for r in prompted(asked, 3, None, near).collect()}
+    assert all(e["trace"] in prompts[i + 10] for i, x in made.items() for e in x)
+
+
 def test_retry(spark):
     q = "A shop takes 2 percent off 3 boxes that cost 5 dollars. What is left to pay?"
     truth = "We take <<3*5=15>>15.\nWe put <<15+2=17>>17.\n#### 17"

@@ -66,16 +66,25 @@ def good(pool: DataFrame, k: int = 5, category_type: str | None = None, strategy
 
 
 def stats(pool: DataFrame, by: tuple[str, ...] = ("rex_score",)) -> DataFrame:
-    """One row: counts, percentages, the good pool's mean score and its counts by topic. Two small aggregations."""
-    n = {p: F.count_if(F.col("pool") == p) for p in POOLS}
-    total = F.count(F.lit(1))
+    """One row: counts, percentages, the good pool's mean score and its counts by topic.
+
+    The pool is read once, into a row for each pool and topic; these few are added up.
+    """
+    rows = pool.select("pool", F.coalesce("category_type", F.lit("unknown")).alias("category_type"), score(pool, by).alias("s"))
+    each = rows.groupBy("pool", "category_type").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
+    of = lambda p, c: F.coalesce(F.sum(F.when(F.col("pool") == p, F.col(c))), F.lit(0))
+    n = {p: of(p, "n") for p in POOLS}
+    total = F.coalesce(F.sum("n"), F.lit(0))
     pct = lambda c: F.when(total > 0, F.round(100 * c / F.greatest(total, F.lit(1)), 1)).otherwise(F.lit(0.0))
-    mean = F.avg(F.when(F.col("pool") == "good", score(pool, by)))
-    sums = pool.agg(
-        total.alias("total"), *[c.alias(p) for p, c in n.items()], *[pct(c).alias(f"{p}_pct") for p, c in n.items()], F.coalesce(F.round(mean, 4), F.lit(0.0)).alias("avg_good_score")
+    mean = F.when(n["good"] > 0, of("good", "s") / F.greatest(n["good"], F.lit(1)))
+    topics = F.collect_list(F.when(F.col("pool") == "good", F.struct("category_type", "n")))
+    return each.agg(
+        total.alias("total"),
+        *[c.alias(p) for p, c in n.items()],
+        *[pct(c).alias(f"{p}_pct") for p, c in n.items()],
+        F.coalesce(F.round(mean, 4), F.lit(0.0)).alias("avg_good_score"),
+        F.map_from_entries(F.array_sort(topics)).alias("good_by_category"),
     )
-    by_category = good_by_category(pool).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_type", "n")))).alias("good_by_category"))
-    return sums.crossJoin(F.broadcast(by_category))  # one row each
 
 
 def good_by_category(pool: DataFrame) -> DataFrame:

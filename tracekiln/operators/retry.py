@@ -17,7 +17,7 @@ def retried(rows: DataFrame, pool: str, backend: Backend, manual: DataFrame | No
     """Rows of one pool with the outcome of a retry: ``recovered`` and the new values in a struct ``new``.
 
     A row without a question or an answer is tried with empty ones. A problem that
-    the backend returned nothing for is not recovered.
+    the backend returned nothing for, or raised for, is not recovered and stays.
     """
     sid, enough = RULES[pool]
     sid = sid if strategy_id is None else strategy_id
@@ -29,7 +29,7 @@ def retried(rows: DataFrame, pool: str, backend: Backend, manual: DataFrame | No
         *([F.col("original_index")] if "original_index" in rows.columns else []),
     )
     ready = categorized(preprocessed(asked))
-    rated = evaluated(generated(prompted(ready, sid, manual, near), backend))
+    rated = evaluated(generated(prompted(ready, sid, manual, near), backend, skip_failures=True))
     return rated.select(
         "__row.*",
         F.struct(*[F.col(c) for c in RATED]).alias("new"),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracekiln.functions.classify import CATEGORIES
+from tracekiln.operators.records import bounded
 from tracekiln.plans.dims import categories, strategies, strategy_rows
 
 #: No strategy looks past this rank.
@@ -42,9 +43,9 @@ def allocated(front: DataFrame) -> DataFrame:
     return placed.withColumn("position", F.row_number().over(order) - 1).drop("size", "n_per_cat", "rank_start", "rank_end", "cat_ord", "strategy_name")
 
 
-def selected(scored: DataFrame) -> DataFrame:
-    """The examples of each strategy. Positions are over at most 40 rows a strategy."""
-    return allocated(ranked(scored, DEEPEST))
+def selected(scored: DataFrame, pool_size: int | None = None) -> DataFrame:
+    """The examples of each strategy, out of the first ``pool_size`` rows if it is given. Positions are over at most 40 rows a strategy."""
+    return allocated(ranked(bounded(scored, pool_size, "original_index"), DEEPEST))
 
 
 def remaining(scored: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekiln.functions import classify, text, votes
+from tracekiln.functions import classify, text, vectors, votes
 from tracekiln.operators import neighbours, pools, records, reports, retry, selection
 from tracekiln.plans import fixtures, generation, sql
+from tracekiln.plans.prompts import DYNAMIC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,6 +384,18 @@ def generate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("original_index", "strategy_id", "strategy_name", "trace", "answer", "num_tokens", F.size("candidates").alias("n_candidates"), F.size(F.coalesce("token_logprobs", F.array())).alias("n_logprobs"))
 
 
+@query()
+def prompt_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of the strategies that retrieve, for every hundredth problem, with the nearest of the whole good pool."""
+    pool = pools.view(_pool(spark, sf_dir), "good").withColumn("embedding", vectors.word_vector(F.col("question")))
+    rows = _scored(spark, sf_dir).where(F.col("original_index") % 100 == 0).withColumn("embedding", vectors.word_vector(F.col("question")))
+    fields = ("trace", "ground_truth")
+    near = generation.near_examples(rows, pool, fields=fields)
+    sid = F.element_at(F.array(*[F.lit(s) for s in DYNAMIC]), (F.pmod(F.floor(F.col("original_index") / 100), F.lit(len(DYNAMIC))) + 1).cast("int"))
+    made = generation.prompted(rows.withColumn("sid", sid), "sid", None, near, fields)
+    return made.select("original_index", "strategy_id", "prompt", "temperature", "num_return_sequences")
+
+
 # Pools
 
 

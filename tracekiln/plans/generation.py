@@ -7,6 +7,7 @@ requests to lists of sequences.
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from tracekiln.functions.text import extract_final_answer, word_count
 from tracekiln.functions.votes import majority_vote, representative
+from tracekiln.operators.neighbours import nearest
 from tracekiln.plans.prompts import DYNAMIC, prompt, strategy_name
 
 #: (prompt, temperature, number of sequences, number of new tokens)
@@ -125,7 +127,34 @@ def manual_examples(chosen: DataFrame, fields: tuple[str, ...] = ("trace", "raw_
     return chosen.groupBy("strategy_id").agg(F.transform(ordered, lambda e: F.struct(e["question"].alias("question"), *[e[f].alias(f) for f in fields])).alias("examples"))
 
 
-def sequences(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512) -> DataFrame:
+def near_examples(problems: DataFrame, pool: DataFrame, k: int = 3, category: bool = True, fields: tuple[str, ...] = ("trace", "raw_answer")) -> DataFrame:
+    """original_index and an array ``near`` of the k most similar examples of the pool, the best first.
+
+    ``problems`` has original_index, embedding and category_type; ``pool`` has seq, embedding,
+    category_type, question and the fields, of which those that it lacks are null.
+    """
+    asked = problems.select(F.col("original_index").alias("id"), "embedding", F.col("category_type").alias("category"))
+    found = nearest(asked, pool.select(F.col("seq").alias("id"), "embedding", F.col("category_type").alias("category")), k, category)
+    cells = [F.col(f).cast("string").alias(f) if f in pool.columns else F.lit(None).cast("string").alias(f) for f in fields]
+    shown = found.join(pool.select(F.col("seq").alias("pool_id"), F.struct("question", *cells).alias("example")), "pool_id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "pool_id", "example")))
+    return shown.groupBy(F.col("query_id").alias("original_index")).agg(F.transform(ordered, lambda e: e["example"]).alias("near"))
+
+
+def answers(ask: Callable[[list[Request]], list[Answer]], requests: list[Request], skip_failures: bool) -> list[Answer]:
+    """What the backend gives; with ``skip_failures`` a request that it raises for has no sequences."""
+    try:
+        return ask(requests)
+    except Exception:
+        if not skip_failures:
+            raise
+        if len(requests) > 1:
+            return [x for r in requests for x in answers(ask, [r], True)]
+        logging.getLogger(__name__).warning("a request failed and is skipped", exc_info=True)
+        return [([], None)]
+
+
+def sequences(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512, skip_failures: bool = False) -> DataFrame:
     """Adds ``traces`` and ``token_logprobs`` from the backend, batch by batch."""
     more = StructType.fromDDL("traces array<string>, token_logprobs array<struct<token: string, logprob: double>>")
     schema = StructType([*prompts.schema.fields, *more.fields])
@@ -133,7 +162,8 @@ def sequences(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512) -
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = backend.open()
         for rows in source:
-            got = ask([(p, float(t), int(n), max_new_tokens) for p, t, n in zip(rows["prompt"], rows["temperature"], rows["num_return_sequences"], strict=True)])
+            asked = [(p, float(t), int(n), max_new_tokens) for p, t, n in zip(rows["prompt"], rows["temperature"], rows["num_return_sequences"], strict=True)]
+            got = answers(ask, asked, skip_failures)
             rows["traces"] = [list(t) for t, _ in got]
             rows["token_logprobs"] = [None if p is None else [{"token": a, "logprob": b} for a, b in p] for _, p in got]
             yield rows
@@ -141,12 +171,12 @@ def sequences(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512) -
     return prompts.mapInPandas(run, schema)
 
 
-def generated(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512) -> DataFrame:
+def generated(prompts: DataFrame, backend: Backend, max_new_tokens: int = 512, skip_failures: bool = False) -> DataFrame:
     """Adds trace, answer, strategy_name, num_tokens, candidates and token_logprobs.
 
     Of several sequences the vote decides, and their log probabilities are dropped.
     """
-    made = sequences(prompts, backend, max_new_tokens).withColumn("__answers", F.transform("traces", extract_final_answer))
+    made = sequences(prompts, backend, max_new_tokens, skip_failures).withColumn("__answers", F.transform("traces", extract_final_answer))
     many = F.col("num_return_sequences") > 1
     made = made.withColumn("answer", F.when(many, majority_vote(F.col("__answers"))).otherwise(F.try_element_at("__answers", F.lit(1))))
     made = made.withColumn("trace", F.when(many, representative(F.col("traces"), F.col("__answers"), F.col("answer"))).otherwise(F.try_element_at("traces", F.lit(1))))

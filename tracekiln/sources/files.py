@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tracekiln import schemas
+from tracekiln.functions.quality import GOOD, MEDIUM, WEIGHTS
 from tracekiln.plans.dims import STRATEGIES, strategies
 
 POOL_NAMES = ("good", "medium", "bad")
@@ -54,7 +56,7 @@ def run_config(spark: SparkSession, pool_size: int, pilot_size: int, total_remai
     """The configuration of a run as one row."""
     names = {str(i): n for i, (n, _) in enumerate(STRATEGIES)}
     needs = {str(i): k for i, (_, k) in enumerate(STRATEGIES)}
-    row = (pool_size, pilot_size, total_remaining, len(STRATEGIES), names, needs, "REx = 0.40·V + 0.35·E + 0.25·R", 0.65, 0.35)
+    row = (pool_size, pilot_size, total_remaining, len(STRATEGIES), names, needs, f"REx = {WEIGHTS[0]}·V + {WEIGHTS[1]}·E + {WEIGHTS[2]}·R", float(GOOD), float(MEDIUM))
     return spark.createDataFrame([row], schemas.RUN_CONFIG)
 
 
@@ -70,12 +72,20 @@ def save_pool(pool: DataFrame, folder: str, prefix: str = "", now: datetime | No
     return path
 
 
+def warn_if_missing(fault: AnalysisException, path: str) -> None:
+    """Raises faults other than a missing path."""
+    if fault.getCondition() != "PATH_NOT_FOUND":
+        raise fault
+    warnings.warn(f"no pool at {path}: it is taken for empty", stacklevel=3)
+
+
 def load_pool(spark: SparkSession, path: str, kind: str = "parquet", pools: tuple[str, ...] = POOL_NAMES) -> DataFrame:
-    """The pools of ``save_pool``; a missing path is an empty pool."""
+    """The pools of ``save_pool``; a missing path is an empty pool, with a warning. Other faults are raised."""
     try:
         rows = spark.read.schema(schemas.POOL).format(kind).load(path)
         rows.schema  # noqa: B018  the path is looked up here
-    except AnalysisException:
+    except AnalysisException as e:
+        warn_if_missing(e, path)
         return spark.createDataFrame([], schemas.POOL)
     return rows.where(F.col("pool").isin(*pools))
 
@@ -88,7 +98,8 @@ def load_pool_arrays(spark: SparkSession, good: str, medium: str | None = None,
             continue
         try:
             whole = spark.read.text(path, wholetext=True)
-        except AnalysisException:
+        except AnalysisException as e:
+            warn_if_missing(e, path)
             continue
         body = ", ".join(p for p in _struct(schemas.POOL).split(", ") if not p.startswith(("pool:", "seq:")))
         rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{body}>>")).alias("seq", "e")).select(F.lit(name).alias("pool"), F.col("seq").cast("long"), "e.*")
