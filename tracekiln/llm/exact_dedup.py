@@ -33,6 +33,11 @@ STATE = {
     "spark.sql.streaming.metricsEnabled": "false",
 }
 
+#: Bits of the table that tells which digests were hit (8 MB).
+BITS = 1 << 26
+#: A group is large above HOT_LEAST rows, and above the HOT_MOST-th part of all rows: there are fewer than HOT_MOST such.
+HOT_LEAST, HOT_MOST = 256, 10_000
+
 
 def normalised(text: str | Column = "text") -> Column:
     """The text without the characters of ``[\\x20\\x09-\\x0D]``."""
@@ -91,19 +96,50 @@ def keyed_state(spark: SparkSession, log_path: str, log: DataFrame, state_path:
     )
 
 
+def hit_bits(groups: DataFrame) -> DataFrame:
+    """The digests that were hit more than once, as a table of BITS bits: rows (bucket, bits) of 4 KB each.
+
+    It has BITS / 32,768 rows at most, 8 MB, however many digests there are.
+    """
+    at = _bit(F.col("digest"))
+    return groups.where("group_size > 1").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def _bit(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(BITS))
+
+
 def colliding(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests that stand for more than one text, found on the full bytes of every hit.
 
-    Copies meet in the map-side half of the first aggregation, so a large group is
-    one row a task before anything is shuffled by text.
+    Texts that no other row can equal are left behind by a table of bits before
+    anything is shuffled; where bits are shared, a text is compared in vain. Copies
+    meet in the map-side half of the first aggregation, so a large group is one row
+    a task when its texts are shuffled.
     """
     norm = normalised(docs["text"])
-    hits = groups.where("group_size > 1").select(F.col("digest").alias("hit"))
-    texts = docs.select(digest(norm).alias("digest"), norm.alias("norm"))
-    same = texts.join(hits, texts["digest"] == hits["hit"], "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.select(digest(norm).alias("digest"), norm.alias("norm")).withColumn("at", _bit(F.col("digest")))
+    texts = texts.withColumn("bucket", F.shiftright("at", 15)).join(F.broadcast(hit_bits(groups)), "bucket")  # 8 MB at most
+    octet = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("at").bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("at").bitwiseAND(F.lit(7)).cast("int"))) != 0
+    same = texts.where(hit).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
     return same.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1").select("digest")
 
 
+def with_group(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` with what was decided for their digest.
+
+    Groups above the limit, HOT_MOST at most by its choice, are sent to all tasks, so
+    that their rows stay where they are; the others meet theirs by digest, and no
+    digest brings more rows to a task than the limit.
+    """
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    limit = max(HOT_LEAST, -(-total // HOT_MOST))
+    large = F.broadcast(groups.where(F.col("group_size") > limit))
+    rest = members.join(large.select("digest"), "digest", "left_anti")
+    return members.join(large, "digest").unionByName(rest.join(groups.where(F.col("group_size") <= limit), "digest"))
+
+
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, keep_locator."""
     spark = docs.sparkSession
@@ -121,7 +157,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     bad = stored(colliding(docs, groups, digest), "dedup-collisions")
 
     def rows(members: DataFrame, decided: DataFrame) -> DataFrame:
-        return members.join(decided, "digest").select(
+        return with_group(members, decided).select(
             "doc_id",
             "keep_id",
             "group_size",
