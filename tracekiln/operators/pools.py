@@ -51,7 +51,7 @@ def good(pool: DataFrame, k: int = 5, category_type: str | None = None, strategy
     """
     own = view(pool, "good")
     if strategy == "random":
-        picked = own.withColumn("__h", F.xxhash64("seq", F.lit(seed))).orderBy("__h", "seq").limit(k)
+        picked = own.withColumn("__h", F.md5(F.concat_ws("|", F.col("seq").cast("string"), F.lit(str(seed))))).orderBy("__h", "seq").limit(k)
         return picked.withColumn("position", F.row_number().over(W.orderBy("__h", "seq")) - 1).drop("__h")
     if strategy not in ("top_score", "diverse"):
         raise ValueError(f"no such strategy: {strategy}")

@@ -76,4 +76,4 @@ def overlap(chosen: DataFrame, rest: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for the same seed however the rows are dealt."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

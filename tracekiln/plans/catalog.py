@@ -246,7 +246,7 @@ def remaining_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.category_counts(selection.remaining(rows, selection.selected(rows)), bar=40)
 
 
-@query()
+@query(f"WITH {sql.allocated()} SELECT original_index, question, category_type FROM s WHERE original_index NOT IN (SELECT original_index FROM a) ORDER BY md5(original_index || '|42'), original_index LIMIT 200")
 def pilot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     return selection.sample(selection.remaining(rows, selection.selected(rows)), "original_index", 200).select("original_index", "question", "category_type")
@@ -375,7 +375,10 @@ for _sid in range(16):
     _prompt(_sid)
 
 
-@query()
+@query(
+    f"WITH {P}, {sql.stub('SELECT pid, question, pid % 16 AS sid FROM p')}, t AS (SELECT *, len(list_filter(regexp_split_to_array(trace, '\\s+'), lambda w: w <> '')) AS num_tokens FROM g) "
+    f"SELECT pid AS original_index, CAST(sid AS INT) AS strategy_id, strategy_name, trace, {sql.final_answer('trace')} AS answer, num_tokens, CASE WHEN n > 1 THEN n ELSE 0 END AS n_candidates, CASE WHEN n = 1 THEN num_tokens ELSE 0 END AS n_logprobs FROM t"
+)
 def generate_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every problem once, strategies in turn, with the backend that needs no model."""
     rows = _scored(spark, sf_dir).withColumn("sid", F.pmod("original_index", F.lit(16)).cast("int"))
@@ -425,7 +428,7 @@ def pool_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.good(_pool(spark, sf_dir), 12, strategy="diverse").select("position", "seq", "category_type", "rex_score")
 
 
-@query()
+@query(f"WITH {_G} SELECT row_number() OVER (ORDER BY md5(seq || '|42'), seq) - 1 AS position, seq, category_type, rex_score FROM g ORDER BY 1 LIMIT 20")
 def pool_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.good(_pool(spark, sf_dir), 20, strategy="random").select("position", "seq", "category_type", "rex_score")
 
@@ -450,17 +453,21 @@ def _retried(spark: SparkSession, sf_dir: str, pool: str) -> DataFrame:
     return retry.retried(pools.view(_pool(spark, sf_dir), pool), pool, generation.StubBackend(), manual)
 
 
-@query()
+@query(f"WITH {sql.retried('medium', 2, ('good',))} SELECT pid AS original_index, category, rex_score, 2 AS strategy_id, true AS retry, 'medium' AS recovered_from FROM y WHERE recovered")
 def retry_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry.recovered(_retried(spark, sf_dir, "medium"), "medium").select("original_index", "category", "rex_score", "strategy_id", "retry", "recovered_from")
 
 
-@query()
+@query(f"WITH {sql.retried('bad', 15, ('good', 'medium'))} SELECT pid AS original_index, category, rex_score, 15 AS strategy_id, true AS retry, 'bad' AS recovered_from FROM y WHERE recovered")
 def retry_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry.recovered(_retried(spark, sf_dir, "bad"), "bad").select("original_index", "category", "rex_score", "strategy_id", "retry", "recovered_from")
 
 
-@query()
+def _rate_sql(pool: str, sid: int, enough: tuple[str, ...]) -> str:
+    return f"(WITH {sql.retried(pool, sid, enough)} SELECT count(*) FILTER (WHERE recovered) AS recovered, count(*) AS total, round(100 * count(*) FILTER (WHERE recovered) / greatest(count(*), 1), 1) AS rate_pct, '{pool}' AS pool FROM y)"
+
+
+@query(f"{_rate_sql('medium', 2, ('good',))} UNION ALL {_rate_sql('bad', 15, ('good', 'medium'))}")
 def recovery_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = [retry.recovery_rate(_retried(spark, sf_dir, p)).withColumn("pool", F.lit(p)) for p in ("medium", "bad")]
     return rates[0].unionByName(rates[1])

@@ -7,9 +7,9 @@ requests to lists of sequences.
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -46,7 +46,7 @@ class StubBackend:
     def _one(self, text: str, attempt: int, temperature: float) -> str:
         question = text.rsplit("Question: ", 1)[-1].split("\n", 1)[0]
         numbers = [int(x) for x in re.findall(r"\d+", question)] or [0]
-        off = int(zlib.crc32(f"{attempt}|{temperature:g}|{question}".encode()) % 8 < self.wrong_of_8)
+        off = int(hashlib.md5(f"{attempt}|{temperature:g}|{question}".encode()).digest()[0] % 8 < self.wrong_of_8)
         if len(numbers) < 3:
             total = sum(numbers) + off
             return f"First take {' + '.join(map(str, numbers))} = {total}\nSo that is all.\n#### {total}"

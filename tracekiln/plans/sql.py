@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tracekiln.functions import classify, quality, text
-from tracekiln.plans.dims import STRATEGIES, strategy_rows
+from tracekiln.plans.dims import STRATEGIES
 from tracekiln.plans.fixtures import problems_sql
 from tracekiln.plans.prompts import HEADER, LAYOUTS, SAMPLING, TEMPERATURE
 
+NAMES = [n for n, _ in STRATEGIES]
 PROBLEMS = f"p AS ({problems_sql('VARCHAR')})"
 
 
@@ -127,11 +128,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY category_type ORDER BY richness_
 
 
 def allocated() -> str:
-    """CTEs down to a: the selection by serving the strategies one after the other, over counts of ranks taken."""
-    dims = ", ".join(f"({sid}, '{name}', {need}, {a}, {b})" for sid, name, need, a, b in strategy_rows())
+    """CTEs down to a: the selection, each strategy after those of greater need (of equal need, of smaller number)."""
+    needs = ", ".join(f"({sid}, '{name}', {need})" for sid, (name, need) in enumerate(STRATEGIES))
     order = ", ".join(f"('{c}', {i})" for i, c in enumerate(classify.CATEGORIES))
     return scored(f""",
-dim(strategy_id, strategy_name, need, a, b) AS (VALUES {dims}),
+needs(strategy_id, strategy_name, need) AS (VALUES {needs}),
+dim AS (SELECT d.strategy_id, d.strategy_name, d.need, CAST(coalesce(sum(e.need), 0) + 1 AS INT) AS a, CAST(coalesce(sum(e.need), 0) + d.need AS INT) AS b
+  FROM needs d LEFT JOIN needs e ON e.need > d.need OR (e.need = d.need AND e.strategy_id < d.strategy_id) GROUP BY d.strategy_id, d.strategy_name, d.need),
 cats(category_type, cat_ord) AS (VALUES {order}),
 n AS (SELECT category_type, count(*) AS n FROM s GROUP BY 1),
 pick AS (SELECT strategy_id, original_index, question, r.category_type, rank, cat_ord, false AS is_reuse FROM r JOIN dim ON rank BETWEEN a AND b AND need > 0 JOIN cats USING (category_type)
@@ -147,12 +150,12 @@ def equation(e: str) -> str:
     return f"(CASE WHEN {e}[2] IN ('/', '÷') AND {b} = 0 THEN {a} IS NOT NULL AND {c} IS NOT NULL ELSE coalesce(abs({c} - {want}) <= greatest(1e-6, abs({want}) * 1e-4), false) END)"
 
 
-def rated() -> str:
-    """CTEs p, t (parts), v (scores) and x (rated traces)."""
+def rated(problems: str = PROBLEMS) -> str:
+    """CTEs p (or the one given), t (parts), v (scores) and x (rated traces)."""
     eq = lambda k: all_of("trace", quality.EQUATION, k)
     parts = f"list_transform(range(1, len({eq(1)}) + 1), lambda i: [{eq(1)}[i], {eq(2)}[i], {eq(3)}[i], {eq(4)}[i]])"
     lev = "levenshtein(st[i], st[j])"
-    return f"""{PROBLEMS},
+    return f"""{problems},
 t AS (SELECT pid, question, answer, trace, {parts} AS eqs, {gold('answer')} AS gold, {numbers('trace')} AS nums, {trace_steps('trace')} AS st,
   {answer('trace')} AS pred_answer, {answer('answer')} AS gold_answer, {category('question')} AS category_type FROM p),
 u AS (SELECT *, len(list_filter(eqs, lambda e: {equation('e')})) AS ok, len(list_filter(list_distinct(gold), lambda g: list_contains(nums, g))) AS covered,
@@ -168,6 +171,29 @@ x AS (SELECT *, CAST(dx AS DOUBLE) AS rex_score, CAST(dv AS DOUBLE) AS validity,
   CASE WHEN is_correct AND dx >= 0.65 THEN 'good' WHEN is_correct AND dx >= 0.35 THEN 'medium' WHEN NOT is_correct AND dx >= 0.65 THEN 'medium' ELSE 'bad' END AS category FROM w)"""
 
 
+def stub(rows: str) -> str:
+    """CTEs g0 to g: what the backend without a model answers for ``rows`` (pid, question, sid).
+
+    Attempts differ by the error alone, so the vote is the side with more attempts, the first attempt's on a tie.
+    """
+    plan = ", ".join(f"({sid}, '{name}', '{t:g}', {n})" for sid, name in enumerate(NAMES) for t, n in [SAMPLING.get(sid, (TEMPERATURE, 1))])
+    digit = "strpos('0123456789abcdef', md5(k || '|' || temp || '|' || question)[2]) - 1"
+    return f"""plan(sid, strategy_name, temp, n) AS (VALUES {plan}),
+g0 AS (SELECT pid, question, sid, strategy_name, n, list_transform(regexp_extract_all(question, '[0-9]+'), lambda d: CAST(d AS BIGINT)) AS ns,
+  list_transform(range(0, n), lambda k: CAST(({digit}) % 8 < 2 AS BIGINT)) AS errs FROM ({rows}) JOIN plan USING (sid)),
+g1 AS (SELECT *, CASE WHEN 2 * list_sum(errs) > n THEN 1 WHEN 2 * list_sum(errs) = n THEN errs[1] ELSE 0 END AS err FROM g0),
+g AS (SELECT pid, sid, strategy_name, n, CASE WHEN len(ns) < 3 THEN 'First take ' || array_to_string(ns, ' + ') || ' = ' || (list_sum(ns) + err) || chr(10) || 'So that is all.' || chr(10) || '#### ' || (list_sum(ns) + err)
+  ELSE 'First take ' || ns[2] || ' * ' || ns[3] || ' = ' || ns[2] * ns[3] || chr(10) || 'Next put ' || ns[2] * ns[3] || ' + ' || ns[1] || ' = ' || (ns[2] * ns[3] + ns[1] + err) || chr(10) || '#### ' || (ns[2] * ns[3] + ns[1] + err) END AS trace FROM g1)"""
+
+
+def retried(pool: str, sid: int, enough: tuple[str, ...]) -> str:
+    """CTEs down to y: rows of a pool with their new trace, its evaluation and whether they are recovered."""
+    again = rated("p AS (SELECT o.pid, o.question, o.answer, g.trace FROM o JOIN g USING (pid))")
+    wanted = ", ".join(q(c) for c in enough)
+    return f"""o AS (WITH {rated()} SELECT pid, question, answer FROM x WHERE category = '{pool}'),
+{stub(f"SELECT pid, question, {sid} AS sid FROM o")}, y AS (WITH {again} SELECT *, category IN ({wanted}) AS recovered FROM x)"""
+
+
 def prompt(sid: int) -> str:
     """A query of the prompts of one strategy, with the selection's examples and their true answers as solutions."""
     solved = "e.answer"
@@ -189,5 +215,3 @@ def prompt(sid: int) -> str:
 ex AS MATERIALIZED (SELECT a.position, a.question, p.answer FROM a JOIN p ON p.pid = a.original_index WHERE strategy_id = {sid})
 SELECT p.pid, {body} AS prompt, CAST({temperature} AS DOUBLE) AS temperature, {n} AS num_return_sequences FROM p"""
 
-
-NAMES = [n for n, _ in STRATEGIES]
