@@ -47,6 +47,23 @@ def test_exact_groups_when_digests_collide(spark):
     assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
 
 
+def test_exact_groups_of_a_large_group(spark):
+    """More copies than HOT_LEAST beside small groups and single texts."""
+    texts = ["copy" + " " * (i % 3) for i in range(exact_dedup.HOT_LEAST + 44)] + [f"t{i // 2}" for i in range(20)] + [f"s{i}" for i in range(20)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_groups(documents(spark, texts)).collect()}
+    assert got == expected_groups(list(enumerate(texts)))
+    assert exact_dedup.deduplicated(documents(spark, texts)).count() == 31
+
+
+def test_different_bytes_of_hit_digests_are_found(spark):
+    """Bits of hit digests leave every hit text in, wherever its bit lies."""
+    texts = [f"{i % 500}{'' if i < 500 else '!'}" for i in range(1000)]
+    docs = documents(spark, texts)
+    by_number = lambda norm: F.sha2(F.replace(norm, F.lit("!"), F.lit("")).cast("binary"), 256)
+    groups = docs.groupBy(by_number(exact_dedup.normalised("text")).alias("digest")).agg(F.count(F.lit(1)).alias("group_size"))
+    assert exact_dedup.colliding(docs, groups, by_number).count() == 500
+
+
 def test_exact_groups_with_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "z")], "doc_id long, text string")
     rows = exact_dedup.exact_groups(df).collect()
