@@ -24,7 +24,6 @@ alphabetical order. Repeated rows count each; other columns are ignored.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -135,7 +134,8 @@ class Model:
     ``tables`` has the words that tasks hold under 0 and n-grams under their length;
     ``rest`` has frames (word, row) and (gram, row) of all others, if there are any.
     Rows of words stand in one matrix; words that are unseen get theirs from n-grams
-    when they first turn up, and are held for the next texts, up to ``HELD``.
+    when they first turn up, and are held for the next texts, up to ``HELD``. A model is
+    sent to the tasks as it is: a worker makes it once and drops it with the broadcast.
     """
 
     def __init__(self, langs: list[str], tables: dict[int, Table], rest: tuple[DataFrame, DataFrame] | None = None):
@@ -147,6 +147,9 @@ class Model:
         self.words, self.known_rows = tables.get(0, none)
         self._forget()
 
+    def __reduce__(self):
+        return Model, (self.langs, self.tables)
+
     def _forget(self) -> None:
         self.index = {w: i for i, w in enumerate(self.words)}
         self.rows, self.used = self.known_rows, len(self.known_rows)
@@ -278,17 +281,6 @@ class Model:
         return out
 
 
-_models: dict[str, Model] = {}
-
-
-def held_model(name: str, langs: list[str], tables: dict) -> Model:
-    """The model of this name in this worker process, with the words that earlier tasks looked up."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(langs, tables)
-    return _models[name]
-
-
 def learned(docs: DataFrame) -> Model:
     """The model of all training rows of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
@@ -326,13 +318,13 @@ def _unseen_rows(words: DataFrame, model: Model, sent) -> DataFrame:
     """word, row of distinct unseen words; n-grams that tasks do not hold come by a join."""
 
     def needed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in source:
             pairs = [(w, g) for w in batch.column("word").to_pylist() for g in own.missing(w)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([g for _, g in pairs], pa.string())], names=["word", "gram"])
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in source:
             found = batch.column("found").to_pylist()
             more = {x["gram"]: x["row"] for part in found for x in part or []}
@@ -346,12 +338,12 @@ def _unseen_rows(words: DataFrame, model: Model, sent) -> DataFrame:
 def _joined(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but the text, lang_pred and score, for a model that tasks do not hold whole."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
+    sent = spark.sparkContext.broadcast(model)
     other = [c for c in docs.columns if c != "text"]
     size = len(model.langs)
 
     def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in batches(source, most_bytes=1_000_000):
             sums, n, rare = zip(*own.held_sums(batch.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -366,7 +358,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     def said(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in source:
             n = np.array(batch.column("n").to_pylist(), dtype=np.int64)
             out = [("und", 0.0)] * len(n)
@@ -395,10 +387,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
     if model.rest:
         return _joined(rows, model)
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in batches(source, most_bytes=1_000_000):
             out = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -419,10 +411,10 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
         goes = stored(said.where(~kept).select(F.coalesce("digest", F.lit("")).alias("goes")).distinct(), "language-goes")
         few = goes.count() <= SENT
         return docs.join(F.broadcast(goes) if few else goes, F.coalesce(digest, F.lit("")) == goes["goes"], "left_anti")
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.langs, model.tables))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held_model(*sent.value)
+        own = sent.value
         for batch in batches(source, most_bytes=1_000_000):
             out = own.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in out], pa.bool_()))
