@@ -28,7 +28,7 @@ from tracekiln.llm.common import SPACE, dropped_folder, freed, shared_path, stor
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state store takes megabytes of disk in advance
     "spark.sql.streaming.metricsEnabled": "false",
 }
