@@ -16,11 +16,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracekiln.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from tracekiln.llm.common import freed, stored, table
+from tracekiln.llm.common import freed, small_batches, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a clear language go."""
+    small_batches(spark)
     return language_id.identified(docs, language_id.learned(docs))
 
 
@@ -31,15 +32,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 of their five-word shingles, the smallest ``doc_id`` stays."""
+    small_batches(spark)
     return jaccard_join.thinned(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced in the texts."""
+    small_batches(spark)
     return pii.redacted(docs)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

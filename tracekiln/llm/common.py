@@ -62,6 +62,21 @@ def dropped_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of a batch that tasks send to Python workers. Rows alone, 10,000 by default, bound little where texts are long.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session's Arrow batches hold BATCH_BYTES; stays set. It bounds memory only, no result depends on it.
+
+    A limit that is smaller, or written with a unit, was chosen by the user and stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
