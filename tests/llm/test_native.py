@@ -102,6 +102,14 @@ def quality_of(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
 
 
+def test_state_stores_are_closed_with_their_tasks(spark):
+    manager = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    before = manager.getNumRocksDBInstances(True)
+    rows = documents(spark, ["a b", "ab", "c"])
+    assert sorted(r["keep_id"] for r in exact_dedup.exact_groups(rows).collect()) == [0, 0, 2]
+    assert manager.getNumRocksDBInstances(True) <= before
+
+
 def test_quality_figures(spark):
     r = random.Random(6)
     texts = list(TEXTS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -19,7 +21,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracekiln.llm import bpe, jaccard_join, language_id, packing, pii, secret_scan
+from tracekiln.llm import bpe, common, jaccard_join, language_id, packing, pii, secret_scan
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [None, "", " ", "\n\n x", "don't we'll 'tis ''s", "a" * 20_000, "é中😀 ٣ 12 ", "x<|endoftext|>y <|endoftext|>", "\x00\x1c  end "]
@@ -458,6 +460,49 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows.select("doc_id").distinct().collect()} == kept
 
 
+def test_workers_give_memory_back():
+    """Blocks that lie below one still in use are returned to the system after the last batch."""
+    code = """
+import re, pyarrow as pa
+from tracekiln.llm import common
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+kept = []
+def run(source):
+    for batch in source:
+        blocks = [b"x" * 60_000 for _ in range(4000)]
+        kept.append(b"y" * 60_000)
+        del blocks
+        yield batch
+before = held()
+list(WRAP(run)([pa.record_batch({"a": [1]})]))
+print(held() - before)
+"""
+    grown = [int(subprocess.run([sys.executable, "-c", code.replace("WRAP", how)], capture_output=True, text=True, check=True, timeout=60).stdout) for how in ("", "common.trimmed")]
+    assert grown[0] > 200 and grown[1] < 50
+
+
+def test_caches_of_other_operators_are_dropped():
+    one = pa.record_batch({"a": [1]})
+    own = bpe.codec(JSON)
+    list(common.trimmed(iter, bpe.codec)([one]))
+    assert bpe.codec(JSON) is own
+    list(common.trimmed(iter)([one]))
+    assert bpe.codec.cache_info().currsize == 0
+
+
+def test_tasks_of_the_pipeline_are_trimmed(spark, monkeypatch):
+    """Every function that a stage sends to Python workers ends with the return of memory."""
+    sent = []
+    own = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: sent.append(f) or own(self, f, *a, **b))
+    docs = some_documents(spark, 40)
+    language_id.identified(docs, language_id.learned(docs))
+    jaccard_join.thinned(docs)
+    pii.redacted(docs)
+    packing.packed(docs, JSON)
+    assert len(sent) >= 8 and all(f.__qualname__.startswith("trimmed.") for f in sent)
+
+
 def test_bit_table(spark):
     r = np.random.default_rng(5)
     tokens = r.integers(0, 1 << 64, 40, dtype=np.uint64)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracekiln.llm.common import batches
+from tracekiln.llm.common import batches, large_cache
 
 # Classes of codepoints; a quote is O unless a contraction follows it, and the
 # last white space before a visible character is told apart.
@@ -392,7 +392,7 @@ def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}, special
 
 
-@functools.cache
+@large_cache
 def codec(path: str) -> Codec:
     return Codec(*ranks_of(path))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+Batches = Iterator[pa.RecordBatch]
+#: Cached functions whose results are large.
+_LARGE: list[Callable] = []
+
+
+def large_cache(make: Callable) -> Callable:
+    """``functools.cache`` whose entries a worker drops when it turns to a task that does not use them."""
+    cached = functools.cache(make)
+    _LARGE.append(cached)
+    return cached
+
+
+def _dropped(uses: tuple[Callable, ...]) -> None:
+    for cached in _LARGE:
+        if cached not in uses:
+            cached.cache_clear()
+
+
+def trimmed(run: Callable[[Batches], Batches], *uses: Callable) -> Callable[[Batches], Batches]:
+    """``run``, before which large caches but ``uses`` are dropped, and after which unused memory goes back to the system.
+
+    Workers outlive their tasks, and the allocators of Arrow and of C keep what was freed.
+    """
+
+    def whole(source: Batches) -> Batches:
+        _dropped(uses)
+        yield from run(source)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekiln.llm.bpe import mixed
-from tracekiln.llm.common import batches, freed, stored
+from tracekiln.llm.common import batches, freed, stored, trimmed
 from tracekiln.llm.secret_scan import _LOWER, utf8
 
 #: Fronts that a frequent token stands in, at least.
@@ -265,7 +265,7 @@ def shapes(docs: DataFrame, words: int, percent: int, key: int) -> DataFrame:
                 names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "front", "sketch"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, front array<long>, sketch binary")
+    return _keyed(docs).mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, front array<long>, sketch binary")
 
 
 def signed(items: DataFrame, percent: int, shared, frequent, only=None) -> DataFrame:
@@ -283,7 +283,7 @@ def signed(items: DataFrame, percent: int, shared, frequent, only=None) -> DataF
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(found).view(np.int64))], names=["item", "signature"])
 
-    return items.select("item", "n", "front").mapInArrow(run, "item long, signature long")
+    return items.select("item", "n", "front").mapInArrow(trimmed(run), "item long, signature long")
 
 
 # Comparing
@@ -381,7 +381,7 @@ def near_leaders(placed: DataFrame, percent: int) -> DataFrame:
 
     # In every bucket the same order, so that items of many buckets have few leaders.
     dealt = placed.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("item"), "item")
-    return dealt.select(*keys, "item", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*keys, "item", "n", "sketch").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_pairs(placed: DataFrame, percent: int) -> DataFrame:
@@ -432,7 +432,7 @@ def near_pairs(placed: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = placed.select("*", other).select("signature", "block", "component", "item", "n", "sketch", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     dealt = spread.repartition(*keys).sortWithinPartitions(*keys, "n")
-    return dealt.select(*keys, "block", "component", "item", "n", "sketch").mapInArrow(run, "signature long, low int, high int, a long, b long")
+    return dealt.select(*keys, "block", "component", "item", "n", "sketch").mapInArrow(trimmed(run), "signature long, low int, high int, a long, b long")
 
 
 def sets_of(docs: DataFrame, items: DataFrame, wanted: DataFrame, words: int, key: int) -> DataFrame:
@@ -447,7 +447,7 @@ def sets_of(docs: DataFrame, items: DataFrame, wanted: DataFrame, words: int, ke
             data, offsets, _ = utf8(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("item"), _lists(token_sets(data, offsets, words, key))], names=["item", "tokens"])
 
-    return texts.select("item", "text").mapInArrow(run, "item long, tokens array<long>").dropDuplicates(["item"])
+    return texts.select("item", "text").mapInArrow(trimmed(run), "item long, tokens array<long>").dropDuplicates(["item"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -487,7 +487,7 @@ def linked_inside(flagged: DataFrame, sets: DataFrame, parts: DataFrame, percent
 
     rows = flagged.join(sets, "item").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "component", "item", "tokens").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*keys, "component", "item", "tokens").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracekiln.llm.common import batches, freed, stored
+from tracekiln.llm.common import batches, freed, stored, trimmed
 
 HELD_WORDS = 1 << 20
 HELD_GRAMS = 1 << 18
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from flushed()
         yield from flushed()
 
-    return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     # Counted words are few bytes for much work: they are dealt out over all tasks.
     dealt = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = dealt.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = dealt.mapInArrow(trimmed(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return counted.select("lang", F.length("gram").alias("size"), "gram", "n")
 
 
@@ -331,8 +331,8 @@ def _unseen_rows(words: DataFrame, model: Model, sent) -> DataFrame:
             rows = own.unseen(batch.column("word").to_pylist(), more)
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(rows.tolist(), pa.list_(pa.int64()))], names=["word", "row"])
 
-    found = words.mapInArrow(needed, "word string, gram string").join(model.rest[1], "gram").groupBy("word").agg(F.collect_list(F.struct("gram", "row")).alias("found"))
-    return words.join(found, "word", "left").select("word", "found").mapInArrow(made, "word string, row array<long>")
+    found = words.mapInArrow(trimmed(needed), "word string, gram string").join(model.rest[1], "gram").groupBy("word").agg(F.collect_list(F.struct("gram", "row")).alias("found"))
+    return words.join(found, "word", "left").select("word", "found").mapInArrow(trimmed(made), "word string, row array<long>")
 
 
 def _joined(docs: DataFrame, model: Model) -> DataFrame:
@@ -370,7 +370,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in other], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*other, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
-    parts = docs.mapInArrow(summed, f"{fields}, held_sum array<long>, n long, words array<string>, times array<long>")
+    parts = docs.mapInArrow(trimmed(summed), f"{fields}, held_sum array<long>, n long, words array<string>, times array<long>")
     parts = stored(parts.withColumn("row_key", F.monotonically_increasing_id()), "language-parts")
     pairs = parts.select("row_key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row_key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     distinct = pairs.select("word").distinct()
@@ -379,7 +379,7 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
     sums = pairs.join(known, "word").groupBy("row_key").agg(*[F.sum(F.col("times") * F.col("row")[i]).alias(f"s_{i}") for i in range(size)])
     total = F.array(*[F.col("held_sum")[i] + F.coalesce(F.col(f"s_{i}"), F.lit(0)) for i in range(size)]).alias("total")
     whole = parts.drop("words", "times").join(sums, "row_key", "left").select(*other, "n", total)
-    return whole.mapInArrow(said, f"{fields + ', ' if other else ''}lang_pred string, score double")
+    return whole.mapInArrow(trimmed(said), f"{fields + ', ' if other else ''}lang_pred string, score double")
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -398,7 +398,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
@@ -419,4 +419,4 @@ def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
             out = own.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in out], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tracekiln.llm.bpe import codec, texts_of
-from tracekiln.llm.common import batches
+from tracekiln.llm.common import batches, trimmed
 
 CAPACITY = 2048
 CLOSING = 1
@@ -164,4 +164,4 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, window: int = W
         packer.close(last=True)
         yield packer.rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run, codec), SCHEMA)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracekiln.llm.common import batches
+from tracekiln.llm.common import batches, trimmed
 from tracekiln.llm.secret_scan import joined, replaced, utf8
 
 #: How many template examples the trees are fitted on, and as many of other templates calibrate the thresholds.
@@ -472,7 +472,7 @@ def personal(docs: DataFrame) -> DataFrame:
             )
 
     counts = ", ".join(f"n_{k} long" for k in KINDS[:base])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -487,4 +487,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 texts[i] = replaced(text, [(a, b, KINDS[k]) for a, k, b in spans])
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
