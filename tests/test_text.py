@@ -148,3 +148,15 @@ def test_votes(spark):
     for k in range(30):
         c = Counter(a for q, a, _ in rows if q == k and a is not None)
         assert got[k] == (c.most_common(1)[0][0] if c else None)
+
+
+def test_whole_numbers_take_the_short_way_to_the_same_string(spark):
+    cases = ["7", "007", "-0", "-5", "1,234", "5,", ",5", "1,,2", "-", ",", "0", "999999999999999", "1234567890123456", "-,5", "5\n", " 5", "٣"]
+    assert values(spark, text.normalize_number, cases) == values(spark, text._any_number, cases)
+
+
+def test_steps_on_both_sides_of_the_length_for_words(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    cases = [(["a b c d", "a b c d"], 1), ([long, long + " more"], 1), (["a b c d", "a b c d", long, long + "!", ""], 2), ([long], 0), ([], 0)]
+    got = values(spark, quality.redundant_steps, [c for c, _ in cases], "array<string>")
+    assert got == [n for _, n in cases]
